@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, tokenbin
+from . import bpe, decontam, dedup, tokenbin
 
 
 def _vocabulary(name: str) -> str:
@@ -25,15 +26,27 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(docs, _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(_table(spark, sf_dir, "documents"), dedup.Params(shingle=4))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     manifest = tokenbin.write_tokens(docs, _vocabulary("word_bpe_49k.json"), end_id=2)
     return tokenbin.crc_digest(tokenbin.read_tokens(manifest))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.verdicts(decontam.find_windows(docs, _table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_near_duplicates": op2_near_duplicates,
     "op4_token_files": op4_token_files,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {}
