@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, tokenbin
+from . import bpe, decontam, dedup, fingerprint, tokenbin, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -36,6 +36,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.crc_digest(tokenbin.read_tokens(manifest))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), min_bytes=1000)
+    return warc.resolve(warc.read_archives(manifest, payloads=False))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.verdicts(decontam.find_windows(docs, _table(spark, sf_dir, "benchmark")))
@@ -46,6 +55,8 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_duplicates": op2_near_duplicates,
     "op4_token_files": op4_token_files,
+    "op5_fingerprints": op5_fingerprints,
+    "op7_warc_revisits": op7_warc_revisits,
     "op9_decontaminate": op9_decontaminate,
 }
 
