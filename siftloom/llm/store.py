@@ -81,7 +81,7 @@ def write_atomic(uri: str, chunks) -> None:
     f, path = filesystem(uri)
     f.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with f.open_output_stream(part) as out:
+    with f.open_output_stream(part, compression=None) as out:
         for c in chunks:
             out.write(c)
     f.move(part, path)

@@ -146,7 +146,7 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
             for uri in b.column(0).to_pylist():
                 f, path = filesystem(uri)
                 rows, size = [], 0
-                with f.open_input_stream(path) as src:
+                with f.open_input_stream(path, compression=None) as src:
                     for h, block in parse(iter(lambda: src.read(1 << 20), b"")):
                         kind = h["warc-type"]
                         if kind not in ("response", "revisit"):
