@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, fingerprint, tokenbin, warc
+from . import bpe, decontam, dedup, fingerprint, quality, tokenbin, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -45,6 +45,10 @@ def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(warc.read_archives(manifest, payloads=False))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.verdicts(decontam.find_windows(docs, _table(spark, sf_dir, "benchmark")))
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_token_files": op4_token_files,
     "op5_fingerprints": op5_fingerprints,
     "op7_warc_revisits": op7_warc_revisits,
+    "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
 }
 
