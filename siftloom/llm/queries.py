@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, fingerprint, quality, tokenbin, warc
+from . import bpe, decontam, dedup, fingerprint, quality, suffixlm, tokenbin, warc
 
 
 def _vocabulary(name: str) -> str:
@@ -40,6 +40,10 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), min_bytes=1000)
     return warc.resolve(warc.read_archives(manifest, payloads=False))
@@ -60,6 +64,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op4_token_files": op4_token_files,
     "op5_fingerprints": op5_fingerprints,
+    "op6_suffix_tree_scores": op6_suffix_tree_scores,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
