@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, fingerprint, quality, suffixlm, tokenbin, warc
+from . import bpe, decontam, dedup, fingerprint, langid, quality, rollup, suffixlm, tokenbin, warc
+from .store import materialise, scratch
 
 
 def _vocabulary(name: str) -> str:
@@ -30,6 +31,15 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(_table(spark, sf_dir, "documents"), dedup.Params(shingle=4))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents; the source stands for the host.  The column ``lang`` labels the text model's sample and is no evidence of its row."""
+    docs = _table(spark, sf_dir, "documents")
+    p = langid.Params()
+    langs, table = langid.train_text(docs, p)
+    out = langid.identify(docs.select("doc_id", "text", F.col("source").alias("host")), ["doc_id"], langs, table, p)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "language", "confidence", "accepted")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     manifest = tokenbin.write_tokens(docs, _vocabulary("word_bpe_49k.json"), end_id=2)
@@ -59,15 +69,41 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents, kept by batches.
+
+    Batch ``load`` inserts every document under the first tokenizer, ``upgrade``
+    every one under the second; ``copies`` deletes, under both, rows whose text
+    repeats that of a smaller id.  Each batch is sent twice.
+    """
+    import public_tokenizers
+
+    versions = {"byte-bpe-multi-1": ("ranks", _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "word-bpe-1": ("word", _vocabulary("word_bpe_49k.json"))}
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.md5("text").alias("digest"), "text")
+    counted = materialise(rollup.count_tokens(docs, versions).drop("text"), "counts")
+    both = counted.select("doc_id", "source", "lang", "digest", F.posexplode("n_tokens").alias("v", "n"))
+    both = both.withColumn("version", F.element_at(F.array(*[F.lit(x) for x in sorted(versions)]), F.col("v") + 1))
+    first = counted.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = both.join(first, "digest").where("doc_id > first")
+    store = rollup.Rollup(spark, scratch(spark, "rollup"))
+    for _ in range(2):
+        store.commit("load", rollup.inserts(both.where("v = 1")))
+        store.commit("upgrade", rollup.inserts(both.where("v = 0")))
+        store.commit("copies", rollup.deletes(copies))
+    return store.totals()
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_fingerprints": op5_fingerprints,
     "op6_suffix_tree_scores": op6_suffix_tree_scores,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_quality": op8_quality,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_rollup": op10_token_rollup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
