@@ -4,13 +4,16 @@ A document's set holds the hashes of its distinct runs of ``shingle`` words.
 From it come ``k`` MinHash samples, whose bands of ``rows`` samples are bucket
 keys, and an odd sketch: a bitmap in which every sample toggles one bit.  The
 XOR of two sketches has, for similarity J, about ``n/2 (1 - exp(-4k(1-J)/n))``
-ones, so its population count estimates high similarities precisely.
+ones, so its population count estimates high similarities precisely.  A second
+bitmap takes the parity of all hashes of the set: its XOR has at most as many
+ones as the sets' symmetric difference has members, so too many ones prove that
+a pair is no link.
 
 1. Documents with equal sets form a class; its smallest id stands for it.
 2. Bucket leaders: each document meets the smallest id of each of its buckets;
    pairs whose sketches rule out the threshold by ``margin`` go, and each
-   document's best pair is confirmed on the full sets.  These links already join
-   almost all of a large group, with one pair per document.
+   document's best pairs are confirmed on the full sets.  These links already join
+   almost all of a large group, with few pairs per document.
 3. Components of the links label the documents.  Buckets that still hold several
    labels are searched exactly: every pair of different labels is compared by
    sketches, in blocks, and what passes is confirmed on the full sets.  So no
@@ -42,7 +45,8 @@ class Params:
     With 32 bands of 5 rows a pair at 0.8 shares no bucket with probability
     (1 - 0.8**5)**32 = 3e-6.  ``margin`` is six standard deviations of the
     sketch's estimate at 0.8 (160 samples, 512 bits).  ``block``: documents of
-    one side of a block of the exact search.
+    one side of a block of the exact search.  ``leaders``: pairs of each document
+    that are tried before it.
     """
 
     shingle: int = 5
@@ -52,6 +56,8 @@ class Params:
     bits: int = 512
     margin: float = 0.2
     block: int = 2048
+    parity_bits: int = 1024
+    leaders: int = 3
 
     @property
     def samples(self) -> int:
@@ -78,7 +84,7 @@ def distinct_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, p: Params) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys and sketch (as longs).
+    """doc_id, n_shingles, digest of the set, band keys and both sketches (one array of longs).
 
     Null or empty text has an empty set: digest, bands and sketch are null.
     """
@@ -102,7 +108,10 @@ def signatures(docs: DataFrame, p: Params) -> DataFrame:
             ones = np.zeros((len(full), p.bits), dtype=np.uint8)
             for i in range(p.samples):
                 ones[np.arange(len(full)), spot[i]] ^= 1
-            sketch = np.packbits(ones, axis=1).view("<i8")
+            bit = (mix(flat + U64(77)) % U64(p.parity_bits)).astype(np.int64)
+            own = np.repeat(np.arange(len(full)), n[full])
+            parity = (np.bincount(own * p.parity_bits + bit, minlength=len(full) * p.parity_bits) & 1).astype(np.uint8).reshape(len(full), p.parity_bits)
+            sketch = np.packbits(np.concatenate([ones, parity], axis=1), axis=1).view("<i8")
             some = np.zeros(b.num_rows, dtype=bool)
             some[full] = True
             digest = [None] * b.num_rows
@@ -153,21 +162,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     return wide.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _ones(x: str, y: str, bits: int):
-    """Population count of the XOR of two sketches."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(bits // 64)), F.lit(0))
+def _ones(x: str, y: str, start: int, bits: int):
+    """Population count of the XOR of two arrays of longs, from long ``start`` on."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(start, start + bits // 64)), F.lit(0))
 
 
 def _cross(members: DataFrame, p: Params) -> DataFrame:
     """All pairs of one bucket and different labels whose sketches pass.
 
-    ``members``: key, doc, label, sketch, for buckets of several labels.  The
+    ``members``: key, doc, label, n, sketch, for buckets of several labels.  The
     label with most members is the crowd, the others the few.  Each block of the
     few meets each block of both, as a group of its own, so no group grows with
     the bucket.
     """
-    by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    crowd = by_label.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("key", F.col("top.label").alias("crowd"), (F.col("all") - F.col("top.n")).alias("few"), F.col("top.n").alias("many"))
+    by_label = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
+    crowd = by_label.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all")).select("key", F.col("top.label").alias("crowd"), (F.col("all") - F.col("top.size")).alias("few"), F.col("top.size").alias("many"))
     m = members.join(crowd, "key")
     of = lambda n: F.greatest(F.ceil(n / F.lit(p.block)), F.lit(1)).cast("int")
     m = m.withColumn("rare", F.col("label") != F.col("crowd"))
@@ -182,20 +191,24 @@ def _cross(members: DataFrame, p: Params) -> DataFrame:
         F.transform(all_few, lambda i: cell(i, "few", own, 1)),
     )
     as_many = F.transform(all_few, lambda i: cell(i, "many", own, 1))
-    dealt = m.select("key", "doc", "label", "sketch", F.explode(F.when(F.col("rare"), as_few).otherwise(as_many)).alias("c"))
-    dealt = dealt.select("key", "c.i", "c.kind", "c.j", "c.side", "doc", "label", "sketch").where("kind = 'many' or i <= j")
-    most = p.most_ones
+    dealt = m.select("key", "doc", "label", "n", "sketch", F.explode(F.when(F.col("rare"), as_few).otherwise(as_many)).alias("c"))
+    dealt = dealt.select("key", "c.i", "c.kind", "c.j", "c.side", "doc", "label", "n", "sketch").where("kind = 'many' or i <= j")
+    most, num = p.most_ones, round(100 * p.threshold)
+    cut = p.bits // 64
 
     def block(t: pa.Table) -> pa.Table:
         side = t.column("side").to_numpy()
         doc, label = t.column("doc").to_numpy(), t.column("label").to_numpy()
         sk = t.column("sketch").combine_chunks()
-        sketch = np.asarray(sk.flatten()).view(U64).reshape(len(doc), p.bits // 64)
+        sketch = np.asarray(sk.flatten()).view(U64).reshape(len(doc), (p.bits + p.parity_bits) // 64)
+        size = t.column("n").to_numpy()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         a, b = [], []
         for i in left.tolist():
             r = right[label[right] != label[i]]
-            r = r[np.bitwise_count(sketch[r] ^ sketch[i]).sum(axis=1) <= most]
+            x = np.bitwise_count(sketch[r] ^ sketch[i])
+            near = (100 + num) * x[:, cut:].sum(axis=1, dtype=np.int64) <= (100 - num) * (size[r] + size[i])
+            r = r[near & (x[:, :cut].sum(axis=1) <= most)]
             a.append(np.minimum(doc[r], doc[i]))
             b.append(np.maximum(doc[r], doc[i]))
         return pa.table({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
@@ -218,17 +231,22 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     some = sig.where("digest is not null and doc_id is not null")
     classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # several classes may share rows of one id: those are links too
-    reps = materialise(some.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "sketch"), "representatives")
+    reps = materialise(some.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "sketch", F.col("n_shingles").alias("n")), "representatives")
     owner = some.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
     lead = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last").select("key", "leader")
     buckets = materialise(keyed.join(lead, "key").select("key", F.col("doc_id").alias("doc"), "leader"), "buckets")
-    sketches = reps.select(F.col("doc_id").alias("doc"), "sketch")
+    sketches = reps.select(F.col("doc_id").alias("doc"), "sketch", "n")
     met = buckets.where("doc <> leader").select("doc", "leader").distinct()
-    met = met.join(sketches, "doc").join(reps.select(F.col("doc_id").alias("leader"), F.col("sketch").alias("theirs")), "leader")
-    met = met.withColumn("ones", _ones("sketch", "theirs", p.bits)).where(F.col("ones") <= p.most_ones)
-    best = materialise(met.groupBy("doc").agg(F.min(F.struct("ones", "leader")).alias("m")).select(F.col("m.leader").alias("a"), F.col("doc").alias("b")), "best")
+    met = met.join(sketches, "doc").join(reps.select(F.col("doc_id").alias("leader"), F.col("sketch").alias("theirs"), F.col("n").alias("m")), "leader")
+    num = round(100 * p.threshold)
+    apart = _ones("sketch", "theirs", p.bits // 64, p.parity_bits)
+    met = met.withColumn("apart", apart).where(F.lit(100 + num) * F.col("apart") <= F.lit(100 - num) * (F.col("n") + F.col("m")))
+    met = met.withColumn("ones", _ones("sketch", "theirs", 0, p.bits)).where(F.col("ones") <= p.most_ones)
+    # a document has at most as many leaders as there are bands
+    best = met.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list(F.struct("ones", "apart", "leader"))), 1, p.leaders).alias("m"))
+    best = materialise(best.select("doc", F.explode("m.leader").alias("a")).select("a", F.col("doc").alias("b")), "best")
 
     wanted = buckets.select(F.col("doc").alias("doc_id")).distinct()
     sets = materialise(full_sets(docs.join(wanted, "doc_id", "left_semi"), p), "sets")
@@ -238,7 +256,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     marked = buckets.join(labels.withColumnRenamed("vertex", "doc"), "doc", "left").select("key", "doc", label)
     split = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     members = marked.join(split, "key").join(sketches, "doc")
-    second = confirm(_cross(members.select("key", "doc", "label", "sketch"), p), sets, p)
+    second = confirm(_cross(members.select("key", "doc", "label", "n", "sketch"), p), sets, p)
 
     links = first.unionByName(second)
     linked = components(links.unionByName(owner.join(some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
