@@ -10,9 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
-from .text import EDGE, clamp, coverage, query_tokens, round0, round2, squeeze, squeeze_text, tokens, truncate, words_of
-
-__all__ = ["truncate"]
+from .text import EDGE, clamp, coverage, query_tokens, round0, round2, squeeze, squeeze_text, tokens, words_of
 
 #: Base trust of each source type.
 BASE_TRUST = {"government": 92, "scientific": 88, "official": 82, "major_media": 72, "community": 42}
@@ -74,11 +72,12 @@ def extraction_score(kind: str, text: Column, n_headings: Column, n_links: Colum
     """Quality of an extraction: struct of the parts and ``total``."""
     chunks = F.lit(n_chunks) if isinstance(n_chunks, int) else n_chunks
     length = F.least(F.lit(30.0), F.length(squeeze(F.coalesce(text, F.lit("")))) / 80.0)
-    structure = F.least(F.lit(12.0), n_headings * 2.5) + F.least(F.lit(8.0), n_links * 0.8) + F.least(F.lit(10.0), chunks * 1.5)
+    heads, links, pieces = F.least(F.lit(12.0), n_headings * 2.5), F.least(F.lit(8.0), n_links * 0.8), F.least(F.lit(10.0), chunks * 1.5)
+    structure = heads + links + pieces
     meta = F.least(F.lit(20.0), n_metadata * 2.5)
     cut = F.when(truncated, 18.0).otherwise(0.0)
     bonus = F.lit(float(KIND_BONUS[kind]))
-    total = clamp(bonus + length + structure + meta - cut)
+    total = clamp(bonus + length + heads + links + pieces + meta - cut)
     return F.struct(bonus.alias("kind_bonus"), round2(length).alias("length_score"), round2(structure).alias("structure_score"), round2(meta).alias("metadata_score"), cut.alias("truncation_penalty"), round2(total).alias("total"))
 
 

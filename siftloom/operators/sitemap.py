@@ -40,8 +40,9 @@ def entries(sitemaps: DataFrame) -> DataFrame:
     blocks = F.regexp_extract_all("xml", F.lit(r"(?is)<url>(.*?)</url>"), F.lit(1))
     locs = F.regexp_extract_all("xml", F.lit(r"(?is)(<loc>.*?</loc>)"), F.lit(1))
     e = s.select(*rest, F.posexplode(F.when(F.size(blocks) > 0, blocks).otherwise(locs)).alias("pos", "b"))
+    e = e.where(_field(F.col("b"), "loc").rlike("(?i)^https?://"))
     e = e.select(*rest, "pos", urls.normalise(_field(F.col("b"), "loc")).alias("url"), _field(F.col("b"), "lastmod").alias("lastmod"), _field(F.col("b"), "changefreq").alias("changefreq"), _field(F.col("b"), "priority").try_cast("double").alias("priority"))
-    return e.where(urls.scheme(F.col("url")).isin("http", "https"))
+    return e
 
 
 def children(sitemaps: DataFrame) -> DataFrame:
@@ -49,8 +50,7 @@ def children(sitemaps: DataFrame) -> DataFrame:
     rest = [c for c in sitemaps.columns if c != "xml"]
     s = sitemaps.where(kind(F.col("xml")) == "index")
     c = s.select(*rest, F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?is)<loc>(.*?)</loc>"), F.lit(1))).alias("pos", "l"))
-    c = c.select(*rest, "pos", urls.normalise(_unescape(F.trim("l"))).alias("child"))
-    return c.where(urls.scheme(F.col("child")).isin("http", "https"))
+    return c.where(F.trim("l").rlike("(?i)^https?://")).select(*rest, "pos", urls.normalise(_unescape(F.trim("l"))).alias("child"))
 
 
 def expand(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5, max_sitemaps: int = 20, same_host: bool = True) -> DataFrame:

@@ -173,7 +173,7 @@ K = "doc_id"
 
 
 def extraction(kind_bonus: int, x: str) -> str:
-    return clamp(f"{kind_bonus} + least(30, length({sq(x)})/80.0) + least(12, (doc_id%7)*2.5) + least(8, (doc_id%13)*0.8) + least(10, (doc_id%9)*1.5) + least(20, (doc_id%9)*2.5) - (CASE WHEN doc_id%5=0 THEN 18 ELSE 0 END)")
+    return clamp(f"{kind_bonus} + least(30, length({sq(x)})/80.0) + least(12, (doc_id%7)*2.5) + least(8, (doc_id%13)*0.8::double) + least(10, (doc_id%9)*1.5) + least(20, (doc_id%9)*2.5) - (CASE WHEN doc_id%5=0 THEN 18 ELSE 0 END)")
 
 
 def filter_sql() -> str:
@@ -247,7 +247,7 @@ SQL: dict[str, str] = {
     "snapshot_scan": "SELECT page_id, url AS final_url, 200::bigint AS status, least(strlen(html), 3000)::bigint AS bytes, strlen(html) > 3000 AS truncated FROM pages",
     "document_kinds": "WITH f AS (SELECT doc_id, CASE doc_id%5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' WHEN 2 THEN '.txt' END AS ext, CASE WHEN doc_id%3=0 THEN 'text/plain' WHEN doc_id%7=1 THEN 'application/octet-stream' END AS ct, doc_id%11=0 AS named, doc_id%13 AS m FROM documents), k AS (SELECT *, CASE WHEN ext='.pdf' OR named OR m=0 THEN 'pdf' WHEN ext='.html' OR m=1 THEN 'html' ELSE 'text' END AS kind FROM f) SELECT doc_id, kind, CASE kind WHEN 'pdf' THEN 'application/pdf' WHEN 'html' THEN 'text/html' ELSE coalesce(nullif(ct, 'application/octet-stream'), 'text/plain') END AS content_type, CASE WHEN named THEN 'a b.pdf' END AS filename FROM k",
     "json_rows": "SELECT '{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}' AS json FROM pages",
-    "extraction_quality": f"SELECT doc_id, {r2('least(30, length(' + sq('text') + ')/80.0)')} AS length_score, {r2('least(12, (doc_id%7)*2.5) + least(8, (doc_id%13)*0.8) + least(10, (doc_id%9)*1.5)')} AS structure_score, least(20, (doc_id%9)*2.5)::double AS metadata_score, {r2(extraction(14, 'text'))} AS total, {r2(extraction(18, 'text'))} AS chunks_total, floor({r2(clamp('14 + least(30, length(' + sq('text') + ')/80.0) + least(12, (doc_id%7)*2.5) + least(8, (doc_id%13)*0.8) + least(20, (doc_id%9)*2.5) - (CASE WHEN doc_id%5=0 THEN 18 ELSE 0 END)'))} + 0.5)::bigint AS content_quality, {r2(clamp(r2(extraction(18, 'text')) + '*0.6::double + ' + r2(extraction(14, 'text')) + '*0.4::double'))} AS combined FROM documents",
+    "extraction_quality": f"SELECT doc_id, {r2('least(30, length(' + sq('text') + ')/80.0)')} AS length_score, {r2('least(12, (doc_id%7)*2.5) + least(8, (doc_id%13)*0.8::double) + least(10, (doc_id%9)*1.5)')} AS structure_score, least(20, (doc_id%9)*2.5)::double AS metadata_score, {r2(extraction(14, 'text'))} AS total, {r2(extraction(18, 'text'))} AS chunks_total, floor({r2(clamp('14 + least(30, length(' + sq('text') + ')/80.0) + least(12, (doc_id%7)*2.5) + least(8, (doc_id%13)*0.8::double) + least(20, (doc_id%9)*2.5) - (CASE WHEN doc_id%5=0 THEN 18 ELSE 0 END)'))} + 0.5)::bigint AS content_quality, {r2(clamp(r2(extraction(18, 'text')) + '*0.6::double + ' + r2(extraction(14, 'text')) + '*0.4::double'))} AS combined FROM documents",
     "source_profile": profile_sql(),
     "search_score": f"WITH {TITLED} SELECT page_id, {', '.join(f'{v} AS {k}' for k, v in _P.items())} FROM titled",
     "search_topk": f"WITH {TITLED} SELECT page_id, url, {RESULT} AS quality_score FROM titled ORDER BY quality_score DESC, url COLLATE en LIMIT 10",
