@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import tokens
 
-PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:@]+|\[[^\]]*\])(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+PATTERN = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@\[]+)(?::([0-9]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 # Hosts and path words of the classifications.
 MEDIA = r"(^|\.)reuters\.com$|(^|\.)apnews\.com$|(^|\.)bbc\.|(^|\.)nytimes\.com$|(^|\.)theguardian\.com$|(^|\.)wsj\.com$|(^|\.)ft\.com$|(^|\.)bloomberg\.com$"
