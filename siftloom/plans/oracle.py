@@ -272,3 +272,41 @@ SQL: dict[str, str] = {
     "robots_sitemaps": "WITH o AS (SELECT regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin, page_id FROM pages) SELECT origin, 3::bigint AS pos, origin || '/s' || page_id || '.xml' AS url FROM o UNION ALL SELECT origin, 4::bigint, 'https://x.example/b.xml' FROM o",
     "robots_filter": f"SELECT page_id FROM pages WHERE NOT ((starts_with({PATH}, '/de') AND NOT starts_with({PATH}, '/de/1')) OR regexp_matches({PATH} || {QS}, '^/fr/.*\\.html'))",
 }
+
+# --- compound queries over whole pages ---
+
+#: Extracted pages with quality and profile, as ``x``.
+QUALITY = f"""{PAGE}, x0 AS (SELECT *, {r4('greatest(0, 1 - length(main)/length(full_text)::double)')} AS ratio, len({toks('main')}) AS words,
+ len(list_filter(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda h: {sq(strip('h'))} <> '')) AS heads, {STYPE} AS st FROM m),
+ x1 AS (SELECT *, floor({r2(clamp('14 + least(30, length(main)/80.0::double) + least(12, heads*2.5) + 2.5'))} + 0.5)::bigint AS quality FROM x0),
+ x AS (SELECT *, ({clamp("(CASE st WHEN 'government' THEN 92 WHEN 'scientific' THEN 88 WHEN 'official' THEN 82 WHEN 'major_media' THEN 72 WHEN 'community' THEN 42 ELSE 55 END)"
+ f" + (CASE WHEN {SCHEME}='https' THEN 2 ELSE 0 END) + (CASE WHEN words > 250 THEN 4 WHEN words > 0 AND words < 50 THEN -10 ELSE 0 END)"
+ " + (CASE WHEN quality >= 80 THEN 6 WHEN quality >= 60 THEN 3 WHEN quality > 0 AND quality < 35 THEN -8 ELSE 0 END)"
+ " + (CASE WHEN ratio >= 0.45 THEN -10 WHEN ratio <= 0.15 THEN 4 ELSE 0 END)"
+ f" + (CASE WHEN regexp_matches(lower({PATH}), {q(U.INDEX_PATH)}) THEN -12 ELSE 0 END)")})::bigint AS trust FROM x1)"""
+_HEADS = f"array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<h1>(.*?)</h1>', 1), lambda h: {sq(strip('h'))}), lambda h: h <> ''), ' ')"
+_SRC = score_parts(f"trim(title || ' ' || {_HEADS})", "trim('  ' || main)", "0")["total"]
+_HIT = score_parts(f"trim(title || ' ' || {_HEADS})", "trim(snippet || '  ' || main)", "0")["total"]
+
+SQL["search_and_extract"] = f"""WITH {QUALITY}, h AS (SELECT *, substr(main, 1, 500) AS snippet FROM x WHERE title <> ''),
+ k AS (SELECT * FROM h WHERE len(list_intersect({lst(NEED)}, {toks("(title || ' ' || snippet)")})) > 0 QUALIFY row_number() OVER (PARTITION BY sha256(main) ORDER BY page_id) = 1)
+ SELECT page_id, title, url, {RESULT} AS quality_score, floor({_HIT} + 0.5)::bigint AS relevance_score, quality AS content_quality_score, trust AS trust_score, st AS source_type,
+ substr(main, 1, 8000) AS content, length(main) > 8000 AS content_truncated FROM k ORDER BY quality_score DESC, url COLLATE en LIMIT 10"""
+
+SQL["research_sources"] = f"""WITH {QUALITY}, k AS (SELECT * FROM x WHERE len(list_intersect({lst(NEED)}, {toks("(title || ' ' || main)")})) > 0
+ QUALIFY row_number() OVER (PARTITION BY sha256(main) ORDER BY url COLLATE en, url) = 1)
+ SELECT 'src_' || substr(sha1(url), 1, 12) AS source_id, nullif(title, '') AS title, url, NULL::varchar AS canonical_url, sha256(main) AS content_hash, st AS source_type, trust AS trust_score,
+ floor({_SRC} + 0.5)::bigint AS relevance_score, quality AS content_quality_score, 'static' AS extracted_via, substr(main, 1, 420) AS extracted_preview
+ FROM k ORDER BY trust DESC, relevance_score DESC, url COLLATE en LIMIT 8"""
+
+_ALL = strip("regexp_replace(html, '(?s)<!--.*?-->', '', 'g')")
+SQL["page_signals"] = f"SELECT page_id, 0::bigint AS n_feeds, regexp_matches({_ALL}, '(?i)login|sign in|anmelden|konto|account') AS login, regexp_matches({_ALL}, '(?i)search|suche') AS search, len({emails(sq(strip(BODY)))}) AS n_emails FROM pages"
+
+SQL["lead_groups"] = f"""WITH {TITLED}, w AS (SELECT page_id, url, string_split(title, ' ')[1] AS w FROM titled), n AS (SELECT *, CASE WHEN length(w) >= 3 THEN w ELSE w || ' |' END AS name FROM w)
+ SELECT lower(name) AS group_key, arg_min(name, page_id) AS name, count(*) AS n_hits, count(*) FILTER (regexp_matches(lower(url), '{U.DIRECTORIES}')) AS directory_hits, count(*) AS n_urls,
+ string_agg(url, ' ' ORDER BY page_id) AS candidate_urls FROM n GROUP BY lower(name)"""
+
+#: A tree of sitemap indexes: page k names pages 2k+1 and 2k+2 of its table.
+SQL["sitemap_expand"] = """WITH RECURSIVE n AS (SELECT page_id AS k, 'https://h.example/' || page_id || '.xml' AS url FROM pages),
+ walk AS (SELECT k, url, 0 AS depth FROM n WHERE k = 0 UNION ALL SELECT c.k, c.url, w.depth + 1 FROM walk w JOIN n c ON c.k IN (2*w.k+1, 2*w.k+2) WHERE w.depth < 5)
+ SELECT 'https://h.example/0.xml' AS root, url, depth::bigint AS depth FROM walk"""

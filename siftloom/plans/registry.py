@@ -366,6 +366,18 @@ def sitemap_targets(spark, d):
     return sitemap.targets(m, ["host"], limit=3).select("host", F.col("rank").cast("long").alias("rank"), "url", "lastmod")
 
 
+@query
+def sitemap_expand(spark, d):
+    """A tree of sitemap indexes over the page ids: page k names pages 2k+1 and 2k+2."""
+    k = F.col("page_id")
+    loc = lambda i: F.concat(F.lit("<sitemap><loc>https://h.example/"), i, F.lit(".xml</loc></sitemap>"))
+    s = table(spark, d, "pages").select(F.concat(F.lit("https://h.example/"), k, F.lit(".xml")).alias("url"), F.concat(F.lit("<sitemapindex>"), loc(2 * k + 1), loc(2 * k + 2), F.lit("</sitemapindex>")).alias("xml"))
+    known = s.select("url")
+    roots = spark.createDataFrame([("https://h.example/0.xml",)], "root string")
+    out = sitemap.expand(s, roots, max_depth=5, max_sitemaps=50_000)
+    return out.join(known, "url", "left_semi").select("root", "url", F.col("depth").cast("long").alias("depth"))
+
+
 def edges(spark, d):
     p = table(spark, d, "pages").withColumn("host", F.regexp_extract("url", "^https?://([^/?#]+)", 1))
     w = Window.partitionBy("host").orderBy("page_id")
@@ -417,7 +429,8 @@ def robots_filter(spark, d):
 
 @query
 def search_and_extract(spark, d):
-    return pipelines.search_and_extract(table(spark, d, "pages"), QUERY, 10, "en")
+    out = pipelines.search_and_extract(table(spark, d, "pages"), QUERY, 10, "en")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("relevance_score", "content_quality_score", "trust_score")})
 
 
 @query
@@ -432,7 +445,8 @@ def markdown(spark, d):
 
 @query
 def research_sources(spark, d):
-    return pipelines.research_sources(table(spark, d, "pages"), QUERY).drop("text")
+    out = pipelines.research_sources(table(spark, d, "pages"), QUERY).drop("text")
+    return out.withColumns({c: F.col(c).cast("long") for c in ("relevance_score", "content_quality_score", "trust_score")})
 
 
 @query
