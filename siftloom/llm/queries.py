@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, dedup, fingerprint, langid, quality, rollup, suffixlm, tokenbin, warc
+from . import bpe, decontam, dedup, fingerprint, langid, oracle, quality, rollup, suffixlm, tokenbin, warc
 from .store import materialise, scratch
 
 
@@ -106,4 +106,8 @@ QUERIES = {
     "op10_token_rollup": op10_token_rollup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": oracle.NEAR_DUPLICATES,
+    "op7_warc_revisits": oracle.WARC_REVISITS,
+    "op9_decontaminate": oracle.DECONTAMINATION,
+}
