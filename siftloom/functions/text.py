@@ -131,6 +131,15 @@ def truncate(c: Column, n: int) -> tuple[Column, Column]:
     return F.substring(c, 1, n), F.length(c) > n
 
 
+def truncate_bytes(c: Column, n: int) -> tuple[Column, Column]:
+    """First ``n`` UTF-8 bytes, a character cut in two left out, and whether more were there."""
+    raw = F.encode(c, "utf-8")
+    cut = F.regexp_replace(F.decode(F.substring(raw, 1, n), "iso-8859-1"), "(?:[\u00c2-\u00df]|[\u00e0-\u00ef][\u0080-\u00bf]?|[\u00f0-\u00f4][\u0080-\u00bf]{0,2})$", "")
+    short = F.decode(F.encode(cut, "iso-8859-1"), "utf-8")
+    more = F.octet_length(c) > n
+    return F.when(more, short).otherwise(c), more
+
+
 def word_quality(c: Column) -> Column:
     """Quality of plain documents by their number of words."""
     n = F.size(F.filter(F.split(c, SPACE + "+"), lambda w: w != ""))

@@ -72,6 +72,17 @@ def merge_hits(hits: DataFrame, limit: int, group: list[str] | None = None) -> D
     return first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
 
 
+def domain_hits(extracted: DataFrame, domain: str) -> DataFrame:
+    """A hit for a domain's start page, for queries without others: title (else the domain), address, description or text.
+
+    ``extracted``: url, title, metadata, main_text.
+    """
+    home = extracted.where((urls.host(F.col("url")) == domain.lower()) & (urls.path(F.col("url")) == "/"))
+    snippet = F.substring(F.trim(F.coalesce(F.nullif(F.col("metadata.meta_description"), F.lit("")), "main_text", F.lit(""))), 1, 500)
+    hits = home.select(F.lit(0).alias("variant"), F.lit(0).alias("position"), F.coalesce("title", F.lit(domain)).alias("title"), "url", snippet.alias("snippet"), F.col("title").isNotNull().alias("_t"))
+    return hits.where(F.col("_t") | (F.col("snippet") != "")).drop("_t")
+
+
 def with_fallback(hits: DataFrame, fallback: DataFrame) -> DataFrame:
     """``hits``, or ``fallback`` where there is none."""
     none = hits.limit(1).agg(F.count(F.lit(1)).alias("_some"))

@@ -76,6 +76,35 @@ def research_sources(pages: DataFrame, query: str, max_sources: int = 8, officia
     return s.orderBy(F.desc(first), F.desc(second), F.collate("url", "UNICODE")).limit(max_sources)
 
 
+def institutional(found: DataFrame, least: int) -> DataFrame:
+    """Official, government and scientific sources of at least this trust."""
+    return found.where(F.col("source_type").isin(*INSTITUTIONAL) & (F.col("trust_score") >= least))
+
+
+def sitemap_candidates(found: DataFrame, robots: DataFrame, limit: int = 3) -> DataFrame:
+    """Sitemaps of institutional sources: source_id, rank, sitemap; those that robots files name, else the usual place."""
+    s = institutional(found, 78).select("source_id", urls.origin(F.col("url")).alias("origin"))
+    named = s.join(crawl.robots_sitemaps(robots), "origin", "left")
+    named = named.select("source_id", F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("url", F.concat("origin", F.lit("/sitemap.xml"))).alias("sitemap"))
+    w = Window.partitionBy("source_id").orderBy("pos", "sitemap")
+    return named.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("pos")
+
+
+def deepen(found: DataFrame, sitemaps: DataFrame, pages: DataFrame, query: str, max_sources: int = 12) -> DataFrame:
+    """Sources with the two newest sitemap targets of each of the two most trusted institutional ones added.
+
+    ``sitemaps(sitemap, xml)``; targets are looked up in ``pages``.
+    """
+    top = institutional(found, 75).orderBy(F.desc("trust_score"), F.desc("relevance_score"), F.collate("url", "UNICODE")).limit(2)
+    hosts = top.select(urls.host(F.col("url")).alias("host")).distinct()
+    e = sitemap.entries(sitemaps).withColumn("host", urls.host(F.col("url"))).join(hosts, "host", "left_semi")
+    t = sitemap.targets(sitemap.merge_entries(e, ["host"], ["pos"]), ["host"], limit=2)
+    wanted = pages.join(t.select(F.col("url").alias("_u")), urls.normalise(pages["url"]) == F.col("_u"), "left_semi")
+    both = found.withColumn("_o", F.lit(0)).unionByName(sources(extracted(wanted), query).withColumn("_o", F.lit(1)))
+    kept = dedupe.keep_first(both, dedupe.research_key(F.col("canonical_url"), F.col("content_hash"), F.col("url")), ["_o", F.collate("url", "UNICODE")]).drop("_o")
+    return kept.orderBy(F.desc("trust_score"), F.desc("relevance_score"), F.collate("url", "UNICODE")).limit(max_sources)
+
+
 def research_claims(found: DataFrame, query: str, max_claims: int = 12) -> dict[str, DataFrame]:
     """claims, support, contradictions and coverage of a set of sources (at most twenty)."""
     s = found.withColumn("query_id", F.lit(query))

@@ -182,3 +182,31 @@ def test_compound_queries_on_the_smallest_tables(spark):
     out = pipelines.search_and_extract(p, "that this tion with", 5, "en").collect()
     assert len(out) == 5 and all(0 <= r.trust_score <= 100 for r in out)
     assert pipelines.deep_research(p, "that this tion with", 4, 5).count() <= 5
+
+
+def test_sources_are_deepened_by_sitemaps(spark):
+    words = "The widget launch guide. " + " ".join(f"term{i}" for i in range(300))
+    html = "<html><head><title>{}</title></head><body><main><h1>{}</h1><p>{} {}</p></main></body></html>"
+    rows = [(i, f"https://docs.a.de/guide/{i}", html.format(f"Guide {i}", f"Guide {i}", words, i)) for i in range(4)] + [(9, "https://forum.b.de/t/1", html.format("Forum", "Forum", words, "x"))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    xml = "<urlset>" + "".join(f"<url><loc>https://docs.a.de/guide/{i}</loc><lastmod>202{i}-01-01</lastmod></url>" for i in range(4)) + "</urlset>"
+    maps = spark.createDataFrame([("https://docs.a.de/sitemap.xml", xml)], "sitemap string, xml string")
+    found = pipelines.sources(pipelines.extracted(pages.where("page_id in (0, 9)")), "widget launch guide")
+    assert {r.source_type for r in found.collect()} == {"official", "community"}
+    got = [r.url for r in pipelines.deepen(found, maps, pages, "widget launch guide").collect()]
+    assert set(got) == {"https://docs.a.de/guide/0", "https://docs.a.de/guide/2", "https://docs.a.de/guide/3", "https://forum.b.de/t/1"} and got[-1].startswith("https://forum")
+    robots = spark.createDataFrame([("https://docs.a.de", "Sitemap: https://docs.a.de/s.xml")], "origin string, body string")
+    assert [r.sitemap for r in pipelines.sitemap_candidates(found, robots).collect()] == ["https://docs.a.de/s.xml"]
+
+
+def test_domain_hits_and_byte_cut(spark):
+    from siftloom.functions import text
+
+    x = spark.createDataFrame([("https://pow24.de/", None, ("About",), "t"), ("https://pow24.de/x", "X", (None,), "t")], "url string, title string, metadata struct<meta_description:string>, main_text string")
+    r = search.domain_hits(x, "POW24.de").collect()
+    assert len(r) == 1 and (r[0].title, r[0].snippet) == ("POW24.de", "About")
+    s = "aé漢😀b"
+    for n in range(12):
+        cut, more = text.truncate_bytes(F.col("s"), n)
+        got = spark.createDataFrame([(s,)], "s string").select(cut.alias("c"), more.alias("m")).first()
+        assert got.c == s.encode()[:n].decode(errors="ignore") and got.m == (n < len(s.encode()))
