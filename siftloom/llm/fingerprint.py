@@ -5,13 +5,13 @@ paragraph into phrases of up to twelve words that end with a sentence; and a run
 of paragraphs, closed by one whose hash says so (one in four), is a section.  So
 an insertion moves no boundary but those around it.
 
-* leaf: 64-bit hash of a phrase;
+* leaf: hash of a phrase, 8 hexadecimal digits;
 * paragraph: SHA-256 of its raw text;
 * section: SHA-256 of its paragraphs' hashes in order;
 * root: SHA-256 of the sections' hashes in order.
 
 The fingerprint is one string, ``root;section:paragraph=leaf.leaf,paragraph=...;...``,
-with hashes below the root cut to 16 hexadecimal digits.  Equal texts have equal
+with hashes of sections and paragraphs cut to 16 digits.  Equal texts have equal
 strings, and roots differ where texts do; where they differ, the hashes of
 sections, paragraphs and leaves locate the edit.
 """
@@ -29,7 +29,7 @@ PHRASE = r"\S++(?:(?<![.!?])\s++\S++){0,11}"
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a text (null counts as empty)."""
-    phrases = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0)), lambda s: F.lpad(F.lower(F.hex(F.xxhash64(s))), 16, "0")), ".")
+    phrases = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0)), lambda s: F.right(F.lpad(F.lower(F.hex(F.xxhash64(s))), 8, "0"), F.lit(8))), ".")
 
     def paragraph(p: Column) -> Column:
         h = F.sha2(p, 256)
@@ -96,7 +96,9 @@ def with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    t = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    none = F.lit(-(1 << 63))
+    # the id is got back from the key, so that both uses of the texts need equal columns and share one shuffle
+    t = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     same = Window.partitionBy("k").orderBy(F.col("h"))
     narrow = t.select("k", F.xxhash64("text").alias("h"), F.char_length("text").cast("long").alias("n"))
     narrow = narrow.withColumn("r", F.row_number().over(same))
@@ -115,7 +117,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     whole = t.withColumn("h", F.xxhash64("text")).withColumn("r", F.row_number().over(same)).drop("h").withColumn("fp", fingerprint(F.col("text")))
     asks = linked.select(F.col("nk").alias("k"), F.col("nr").alias("ar"), F.col("k").alias("pk"), F.col("r").alias("pr"), F.col("n").alias("pn"))
     sent = whole.join(asks, "k").where("r - ar = 0").select(F.col("pk").alias("k"), F.col("pr").alias("sr"), F.expr("substring(text, 1, int(pn div 2))").alias("next_half"), F.col("fp").alias("next_fp"))
-    return whole.join(sent, "k").where("r - sr = 0").select("doc_id", "text", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_half", "next_fp")
+    return whole.join(sent, "k").where("r - sr = 0").select(F.nullif(F.col("k"), none).alias("doc_id"), "text", F.char_length("text").cast("long").alias("n_chars"), "fp", "next_half", "next_fp")
 
 
 def edits(docs: DataFrame) -> DataFrame:
