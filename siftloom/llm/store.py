@@ -35,6 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+#: Bytes of one Arrow batch that goes to a Python worker, where the session doesn't say.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes: by rows alone, long texts would make them huge.  A session's own setting stays."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A new, unused URI below the shared folder."""
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"

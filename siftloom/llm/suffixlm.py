@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, small_batches
 from .words import slices
 
 #: Symbols besides those of words.
@@ -98,7 +98,7 @@ class Symbols:
     def sequence(self, words: list[bytes]) -> np.ndarray:
         """Symbols of a document, the end included."""
         memo, of = self.memo, self.of
-        if len(memo) > 500_000:
+        if len(memo) > 200_000:
             memo.clear()
         for w in words:
             if w not in memo:
@@ -242,6 +242,7 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
     """
     p = p or Params()
     spark = docs.sparkSession
+    small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     d = d.withColumn("held_out", held_out() if hold is None else hold)
     vocabulary = materialise(count_words(d.where(~F.col("held_out"))), "vocabulary")
@@ -286,30 +287,32 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
     end_count = int(stat.train)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        count = dict(zip(index, right.column("n").to_pylist(), strict=True))
-        texts = [tokens(x) for x in left.column("text").to_pylist()]
-        for ws in texts:
-            for w in ws:
-                if w not in index:
-                    index[w] = len(index)
-        words = list(index)
-        c = np.zeros(len(words))
-        c[: len(count)] = list(count.values())
+        # a word may come twice: a task that holds several blocks sends its words in parts
+        count = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
         symbols, tree = shared.value
-        kind = np.array([symbols.of(w) for w in words], dtype=np.int64)
-        base = np.log10(c + 1)
-        within = base - np.log10(tree.mass[kind])
-        ids = [np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in texts]
-        flat, first = joined([np.concatenate([kind[i], [END]]) for i in ids])
-        state = np.add.reduceat(tree.log_symbols(flat, first), np.unique(first)) if len(flat) else np.zeros(0)
+        index = {w: i for i, w in enumerate(count)}
+        kind, seen = [symbols.of(w) for w in index], list(count.values())
+        end_base, floor = np.log10(end_count + 1), np.log10(n + types + 1)
         size, sure, low, high = [], [], [], []
-        floor = np.log10(n + types + 1)
-        for k, (ws, i) in enumerate(zip(texts, ids, strict=True)):
-            size.append(len(ws) + 1)
-            sure.append(int((c[i] > 0).sum()) + int(end_count > 0))
-            low.append(float(base[i].sum() + np.log10(end_count + 1) - (len(ws) + 1) * floor))
-            high.append(float(within[i].sum() + state[k]))
+        for at in range(0, left.num_rows, 256):  # running words of a few documents at a time
+            texts = [tokens(x) for x in left.column("text").slice(at, 256).to_pylist()]
+            for ws in texts:
+                for w in ws:
+                    if w not in index:
+                        index[w] = len(index)
+                        kind.append(symbols.of(w))
+                        seen.append(0)
+            k, c = np.array(kind, dtype=np.int64), np.array(seen, dtype=np.float64)
+            base = np.log10(c + 1)
+            within = base - np.log10(tree.mass[k])
+            ids = [np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in texts]
+            flat, first = joined([np.concatenate([k[i], [END]]) for i in ids])
+            state = np.add.reduceat(tree.log_symbols(flat, first), np.unique(first))
+            for i, prob in zip(ids, state.tolist(), strict=True):
+                size.append(len(i) + 1)
+                sure.append(int((c[i] > 0).sum()) + int(end_count > 0))
+                low.append(float(base[i].sum() + end_base - (len(i) + 1) * floor))
+                high.append(float(within[i].sum() + prob))
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(sure, pa.int64()), "train_tokens": pa.array([n] * len(size), pa.int64()), "base_score": pa.array(low, pa.float64()), "score": pa.array(high, pa.float64())})
 
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
