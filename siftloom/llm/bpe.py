@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import small_batches
 from .words import slices
 
 #: Longest span that is encoded without halving.
 LEAF_CHARS = 4096
 #: Leaves remember the tokens of words; the memo is emptied at so many.
-MEMO = 400_000
+MEMO = 200_000
 
 _CUT = re.compile(r"(?<=\S)\s|(?<=[A-Za-z0-9])[!-&(-/:-@\[-`{-~]")
 _BLANKS = re.compile(r"\s ")
@@ -167,6 +168,7 @@ def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str =
     columns pass through, and columns of the two names are replaced.  Rows are
     independent: no shuffle; repeated rows stay as they are.
     """
+    small_batches(df.sparkSession)
     df = df.drop(*[c for c in (ids_col, decoded_col) if c in df.columns])
     schema = T.StructType([*df.schema.fields, T.StructField(ids_col, T.BinaryType()), T.StructField(decoded_col, T.BinaryType())])
 

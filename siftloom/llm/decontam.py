@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import filesystem, scratch, write_atomic
+from .store import filesystem, scratch, small_batches, write_atomic
 from .words import ALNUM, U64, Words, mix, slices
 
 #: Benchmark words in one block of machines; beyond it, tasks load blocks from the shared folder one at a time.
@@ -154,6 +154,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = 13, text_col:
     Null or empty text has no words and no hits; an empty ``items`` hits nothing.
     Rows are independent: no shuffle, and repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     names = ["n_words", "spans", "items"]
     docs = docs.drop(*[c for c in names if c in docs.columns])
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])

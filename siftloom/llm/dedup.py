@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise
+from .store import materialise, small_batches
 from .words import BLANK, U64, Words, mix, segment_starts, slices
 
 
@@ -226,6 +226,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     component.  Other columns are not used.
     """
     p = params or Params()
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, p), "signatures")
     some = sig.where("digest is not null and doc_id is not null")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, small_batches
 from .words import LOWER, segment_starts, slices, text_buffers
 
 _SLOTS = 1 << 16
@@ -68,6 +68,7 @@ def train_text(docs: DataFrame, p: Params | None = None) -> tuple[list[str], np.
     language, ``und``.
     """
     p = p or Params()
+    small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and lang <> ''").where(~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     total = labelled.count()
     part = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, p.max_rows / max(total, 1))))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, small_batches
 from .words import BLANK, U64, Words, segment_starts, slices, text_buffers
 
 FEATURES = (
@@ -222,6 +222,7 @@ def fit(x: np.ndarray, y: np.ndarray, p: Params | None = None) -> Model:
 
 def document_features(docs: DataFrame) -> DataFrame:
     """doc_id and the features of each text (array of floats)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):

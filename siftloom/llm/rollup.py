@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import codec
+from .store import small_batches
 from .tokenbin import encoder, id_width
 from .words import slices
 
@@ -32,6 +33,7 @@ def count_tokens(docs: DataFrame, versions: dict[str, tuple]) -> DataFrame:
     ``versions``: name to ``("ranks", path, pattern)`` or ``("word", path)``.
     Null text has no tokens.
     """
+    small_batches(docs.sparkSession)
     names = sorted(versions)
     docs = docs.drop("n_tokens") if "n_tokens" in docs.columns else docs
     schema = T.StructType([*docs.schema.fields, T.StructField("n_tokens", T.ArrayType(T.LongType()))])

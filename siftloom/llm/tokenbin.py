@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import filesystem, local_path, scratch, write_atomic
+from .store import filesystem, local_path, scratch, small_batches, write_atomic
 from .words import slices
 
 NULL_ID = -(1 << 63)
 #: Words remembered with their ids by each worker; the memo is emptied at so many.
-MEMO = 500_000
+MEMO = 250_000
 
 #: Word pieces that normalise to themselves: ASCII and Latin-1 letters, and ASCII punctuation without the apostrophe.
 _PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
@@ -129,6 +129,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, out:
     Manifest: shard, bin, off, doc (URIs), n_docs, n_tokens, base, width.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     out = out or scratch(spark, "tokens")
     width = id_width(tokenizer_path)
     dealt = docs.select("doc_id", "text").repartitionByRange(_sized(spark, docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import filesystem, scratch, write_atomic
+from .store import filesystem, scratch, small_batches, write_atomic
 from .words import slices
 
 #: Date of the records; a parameter, so that equal inputs give equal archives.
@@ -74,6 +74,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 1000, out: str | None = No
     their own, of which one is the response.  An empty table writes no archive.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     out = out or scratch(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

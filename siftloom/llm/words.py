@@ -85,6 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], col: str = "text", max_bytes: int
             to = min(max(to, at + 1), at + max_rows, n)
             yield b.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 class Words:
