@@ -1,21 +1,22 @@
 """Language-model scores from a probabilistic suffix tree over word symbols.
 
-A word is its own symbol if its share of the training tokens reaches
-``symbol_share``; other words are gathered by their last bytes, and by one common
-symbol where an ending is rare too.  So there are at most ``2 / symbol_share``
-symbols besides it, whatever the corpus.  A word's probability is its symbol's in
-the current state of the tree times its add-one share within the symbol.
+A word is its own symbol if its training tokens reach ``symbol_count`` (or
+``symbol_share`` of all, if that is fewer); other words are gathered by their last
+bytes, and by one common symbol where an ending is rare too.  A word's probability
+is its symbol's in the current state of the tree times its add-one share within
+the symbol.
 
 The tree's contexts are the last one to ``depth`` symbols of the document.  They
-are grown level by level: a context is counted if its share of all tokens
-reaches ``context_share`` (at most ``1 / context_share`` for each length), and
-retained if its next-symbol distribution diverges from that of the next shorter
-one by ``divergence`` nats over its occurrences.  Distributions are smoothed by
-the shorter context's; a symbol is scored in the longest retained suffix state.
-
-Words and their training counts are gathered over the whole corpus.  Documents
-are then dealt into blocks, and the distinct words of a block, not its running
-words, go to the counts and come back.
+are grown level by level: a context is counted if it occurs ``context_count``
+times (or ``context_share`` of all tokens, if that is fewer), and retained if its
+next-symbol distribution diverges from that of the next shorter one by
+``divergence`` nats over its occurrences, each left out in turn.  Distributions are smoothed by the
+shorter context's; a symbol is scored in the longest retained suffix state.  The
+least counts don't rise with the corpus, so symbols and contexts grow with it.
+
+Documents are dealt into blocks.  The distinct words of a block go to the counts
+and come back with their symbols, and so do, level by level, its distinct pairs of
+context and symbol: the tree is a table that no process holds as a whole.
 """
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ _BITS = 16
 class Params:
     """``ending``: bytes of the endings; ``pull``: weight of the shorter context; ``block_bytes``: text in one block."""
 
-    depth: int = 2
+    depth: int = 3
+    symbol_count: int = 64
+    context_count: int = 64
     symbol_share: float = 3e-4
     context_share: float = 1e-4
     ending: int = 3
@@ -81,55 +84,6 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols:
-    """The symbols of words, and of each the training tokens and distinct words."""
-
-    def __init__(self, words: list[bytes], endings: list[bytes], ending: int):
-        self.ending = ending
-        self.words = {w: OTHER + 1 + i for i, w in enumerate(sorted(words))}
-        self.endings = {w: OTHER + 1 + len(words) + i for i, w in enumerate(sorted(endings))}
-        self.size = OTHER + 1 + len(words) + len(endings)
-        self.memo: dict[bytes, int] = {}
-
-    def of(self, word: bytes) -> int:
-        got = self.words.get(word)
-        return got if got is not None else self.endings.get(word[-self.ending :], OTHER)
-
-    def sequence(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of a document, the end included."""
-        memo, of = self.memo, self.of
-        if len(memo) > 200_000:
-            memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = of(w)
-        return np.array([*map(memo.__getitem__, words), END], dtype=np.int64)
-
-
-def choose_symbols(vocabulary: DataFrame, total: int, p: Params) -> tuple[Symbols, np.ndarray, np.ndarray]:
-    """Symbols with their numbers of training tokens and of distinct words.
-
-    What comes to the driver is bounded by the shares: ``1 / symbol_share`` words
-    and as many endings.
-    """
-    least = p.symbol_share * max(total, 1)
-    frequent = F.col("n") >= least
-    size = F.octet_length("word")
-    ending = F.substring("word", F.greatest(size - p.ending + 1, F.lit(1)), F.lit(p.ending))
-    words = vocabulary.where(frequent).select("word", "n").collect()
-    ends = vocabulary.where(~frequent).groupBy(ending.alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
-    big = ends.where(F.col("n") >= least).collect()
-    rest = ends.where(F.col("n") < least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
-    s = Symbols([bytes(r.word) for r in words], [bytes(r.e) for r in big], p.ending)
-    n, v = np.zeros(s.size), np.zeros(s.size)
-    for r in words:
-        n[s.words[bytes(r.word)]], v[s.words[bytes(r.word)]] = r.n, 1
-    for r in big:
-        n[s.endings[bytes(r.e)]], v[s.endings[bytes(r.e)]] = r.n, r.v
-    n[OTHER], v[OTHER] = rest.n, rest.v
-    return s, n, v
-
-
 def contexts(flat: np.ndarray, first: np.ndarray, d: int) -> np.ndarray:
     """The ``d`` symbols before each position as an integer, START before a document's first.
 
@@ -156,41 +110,11 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, keys[i] == wanted
 
 
-def count_level(docs: DataFrame, shared, d: int) -> DataFrame:
-    """(context, symbol, n) for contexts of ``d`` symbols that ``shared`` (symbols, candidates) names; None: all."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, wanted = shared.value
-        keys, sums = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-        held: list[tuple] = []
-
-        def merge():
-            k, n = np.concatenate([x for x, _ in held] or [keys]), np.concatenate([x for _, x in held] or [sums])
-            order = np.lexsort((k[:, 1], k[:, 0]))
-            k, n = k[order], n[order]
-            new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1)])) if len(k) else np.zeros(0, np.int64)
-            held[:] = [(k[new], np.add.reduceat(n, new) if len(new) else n)]
-
-        for b in slices(batches):
-            flat, first = joined([symbols.sequence(tokens(x)) for x in b.column(0).to_pylist()])
-            c = contexts(flat, first, d)
-            if wanted is not None:
-                on = find(wanted, c)[1]
-                c, flat = c[on], flat[on]
-            # one integer for both while it fits: at most two 16-bit symbols of context and one of symbol
-            pair, n = np.unique((c << _BITS) | flat, return_counts=True)
-            held.append((np.stack([pair >> _BITS, pair & ((1 << _BITS) - 1)], axis=1), n))
-            if len(held) > 16:
-                merge()
-        merge()
-        k, n = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), pa.array(n)], names=["context", "symbol", "n"])
-
-    return docs.select("text").mapInArrow(run, "context long, symbol long, n long").groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-
-
 class SuffixTree:
-    """Retained contexts with smoothed next-symbol distributions (log10)."""
+    """Retained contexts with smoothed next-symbol distributions (log10), in one process.
+
+    :func:`score_documents` has the same tree as a table; tests hold it against this.
+    """
 
     def __init__(self, n: np.ndarray, v: np.ndarray, documents: int, pull: float, divergence: float):
         #: Add-one mass of each symbol: tokens, distinct words, and one for words not seen.
@@ -226,13 +150,64 @@ class SuffixTree:
         shorter = [context & ((1 << (_BITS * e)) - 1) for e in range(1, d)]
         up = np.power(10.0, self._state(symbol, shorter)) if len(n) else n
         prob = (n + self.pull * up) / (total[of] + self.pull)
-        gain = np.bincount(of, n * np.log(prob / up), len(own)) if len(n) else total
+        # of each occurrence against a distribution from the others: rare successors of rare contexts prove nothing
+        gain = np.bincount(of, n * np.log((np.maximum(n - 1, 0) + self.pull * up) / ((total[of] - 1 + self.pull) * up)), len(own)) if len(n) else total
         keep = gain >= self.divergence
         pair = (context << _BITS) | symbol
         on = keep[of] if len(n) else np.zeros(0, dtype=bool)
         self.levels.append((own[keep], np.log10(self.pull / (total[keep] + self.pull)), pair[on], np.log10(prob[on])))
 
 
+def mix(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """64-bit keys of contexts (or symbols) followed by symbols."""
+    x = key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.int64).view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def descend(symbol: np.ndarray, logp: np.ndarray, first: np.ndarray, levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log10 probabilities in the longest retained context, keys of the next longer contexts, and which of these are counted.
+
+    ``logp``: the root's.  ``levels``: of each length the sorted keys of pairs, their
+    log10 probabilities (NaN: not retained), and whether they are contexts themselves.
+    """
+    inside = np.arange(len(symbol)) > first
+    key, on = np.where(inside, np.roll(symbol, 1), START), np.ones(len(symbol), dtype=bool)
+    for keys, value, often in levels:
+        pair = mix(key, symbol)
+        i, hit = find(keys, pair)
+        if not len(keys):
+            return logp, key, np.zeros(len(symbol), dtype=bool)
+        hit &= on
+        logp = np.where(hit & ~np.isnan(value[i]), value[i], logp)
+        key, on = np.roll(pair, 1), inside & np.roll(hit & often[i], 1)
+    return logp, key, on
+
+
+def _levels(right: pa.Table, depth: int) -> list[tuple]:
+    level, pair, logp, often = (right.column(c).to_numpy() for c in ("level", "pair", "logp", "often"))
+    out = []
+    for d in range(1, depth + 1):
+        at = np.flatnonzero(level == d)
+        at = at[np.argsort(pair[at])]
+        out.append((pair[at], logp[at], often[at].astype(bool)))
+    return out
+
+
+def _documents(left: pa.Table) -> Iterator[tuple]:
+    """Some documents of a block at a time: their rows, symbols, root's log10 probabilities, and places of their first symbols."""
+    whole = left.filter(left.column("names").is_valid())
+    names, roots = (whole.column(c).combine_chunks().flatten().to_numpy() for c in ("names", "roots"))
+    docs = left.filter(left.column("ids").is_valid())
+    for at in range(0, docs.num_rows, 256):
+        part = docs.slice(at, 256)
+        ids = part.column("ids").combine_chunks()
+        size = ids.value_lengths().to_numpy()
+        flat = ids.flatten().to_numpy()
+        yield part, names[flat], roots[flat], np.repeat(np.cumsum(size) - size, size)
+
+
 def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -250,17 +225,16 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
     v = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     n, types = int(v.n) + int(stat.train), int(v.v) + int(stat.train > 0)
 
-    symbols, tokens_of, words_of = choose_symbols(vocabulary, n, p)
-    tree = SuffixTree(tokens_of, words_of, int(stat.train), p.pull, p.divergence)
-    sc, learn, wanted = spark.sparkContext, d.where(~F.col("held_out")), None
-    for level in range(1, p.depth + 1):
-        # bounded: contexts by their least share, symbols by theirs
-        t = count_level(learn, sc.broadcast((symbols, wanted)), level).toArrow()
-        context, symbol, m = (t.column(k).to_numpy().astype(np.int64) for k in ("context", "symbol", "n"))
-        tree.grow(context, symbol, m)
-        on = (m >= p.context_share * max(n, 1)) & (symbol != END)
-        wanted = np.unique((context[on] & ((1 << (_BITS * level)) - 1)) << _BITS | symbol[on])
-    shared = sc.broadcast((symbols, tree))
+    least = min(p.symbol_count, p.symbol_share * max(n, 1))
+    frequent = F.col("n") >= least
+    ending = F.substring("word", F.greatest(F.octet_length("word") - p.ending + 1, F.lit(1)), F.lit(p.ending))
+    ends = vocabulary.where(~frequent).groupBy(ending.alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
+    ends = materialise(ends, "endings")
+    # add-one mass of a symbol: tokens, distinct words, and one for words not seen
+    big = ends.where(frequent).select("e", (F.col("n") + F.col("v") + 1).alias("e_mass"))
+    rest = ends.where(~frequent).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("v"), F.lit(0)) + 1).alias("m")).first().m
+    own = vocabulary.where(frequent).agg(F.coalesce(F.sum(F.col("n") + 2), F.lit(0)).alias("m")).first().m
+    log_all = float(np.log10(own + rest + big.agg(F.coalesce(F.sum("e_mass"), F.lit(0)).alias("m")).first().m + int(stat.train) + 1))
 
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(stat.bytes) // p.block_bytes), 1)
     blocks = max(1, min(blocks, -(-int(stat.bytes) // (p.block_bytes // 2)) or 1))
@@ -282,37 +256,98 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
         yield from flush()
 
     named = dealt.select("doc_id", "text", "held_out", "block").mapInArrow(distinct, "block long, word binary")
-    known = named.join(vocabulary, "word").select("block", "word", "n")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    # an ending has few bytes, so their number is bounded whatever the corpus
+    known = named.join(vocabulary, "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("e", ending).join(F.broadcast(big), "e", "left")
+    alone, common = F.xxhash64(F.lit("word"), "word"), F.xxhash64(F.lit("ending"), "e")
+    known = known.select(
+        "block", "word", "n",
+        F.when(frequent, alone).when(F.col("e_mass").isNotNull(), common).otherwise(F.lit(OTHER)).cast("long").alias("symbol"),
+        F.when(frequent, F.col("n") + 2).otherwise(F.coalesce("e_mass", F.lit(int(rest)))).cast("double").alias("mass"),
+    )
     end_count = int(stat.train)
+    coded_schema = "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, ids array<int>, names array<long>, roots array<double>"
+    arrow = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("ids", pa.list_(pa.int32())), ("names", pa.list_(pa.int64())), ("roots", pa.list_(pa.float64()))])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def encode(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Documents with symbols as places in the block's list, and a row with that list."""
+        if not left.num_rows:
+            return arrow.empty_table()
         # a word may come twice: a task that holds several blocks sends its words in parts
-        count = dict(zip(right.column("word").to_pylist(), right.column("n").to_pylist(), strict=True))
-        symbols, tree = shared.value
-        index = {w: i for i, w in enumerate(count)}
-        kind, seen = [symbols.of(w) for w in index], list(count.values())
-        end_base, floor = np.log10(end_count + 1), np.log10(n + types + 1)
-        size, sure, low, high = [], [], [], []
-        for at in range(0, left.num_rows, 256):  # running words of a few documents at a time
-            texts = [tokens(x) for x in left.column("text").slice(at, 256).to_pylist()]
-            for ws in texts:
-                for w in ws:
-                    if w not in index:
-                        index[w] = len(index)
-                        kind.append(symbols.of(w))
-                        seen.append(0)
-            k, c = np.array(kind, dtype=np.int64), np.array(seen, dtype=np.float64)
-            base = np.log10(c + 1)
-            within = base - np.log10(tree.mass[k])
-            ids = [np.fromiter(map(index.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in texts]
-            flat, first = joined([np.concatenate([k[i], [END]]) for i in ids])
-            state = np.add.reduceat(tree.log_symbols(flat, first), np.unique(first))
-            for i, prob in zip(ids, state.tolist(), strict=True):
-                size.append(len(i) + 1)
-                sure.append(int((c[i] > 0).sum()) + int(end_count > 0))
-                low.append(float(base[i].sum() + end_base - (len(i) + 1) * floor))
-                high.append(float(within[i].sum() + prob))
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(sure, pa.int64()), "train_tokens": pa.array([n] * len(size), pa.int64()), "base_score": pa.array(low, pa.float64()), "score": pa.array(high, pa.float64())})
-
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
+        index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
+        count, symbol, mass = (right.column(c).to_numpy() for c in ("n", "symbol", "mass"))
+        names, at, kind = np.unique(np.concatenate([symbol, [END]]), return_index=True, return_inverse=True)
+        roots = np.log10(np.concatenate([mass, [end_count + 1]]))[at] - log_all
+        base = np.log10(count + 1.0)
+        within, end_base, floor = base - np.log10(mass), np.log10(end_count + 1), np.log10(n + types + 1)
+        kind = kind.astype(np.int32)
+        size, sure, low, inner, ids = [], [], [], [], []
+        for x in left.column("text"):
+            i = np.array([index[w] for w in tokens(x.as_py())], dtype=np.int64)
+            size.append(len(i) + 1)
+            sure.append(int((count[i] > 0).sum()) + int(end_count > 0))
+            low.append(float(base[i].sum() + end_base - (len(i) + 1) * floor))
+            inner.append(float(within[i].sum()))
+            ids.append(np.append(kind[i], kind[-1]))
+        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+        k = left.num_rows
+        block = left.column("block").combine_chunks()
+        docs = pa.Table.from_arrays([block, left.column("doc_id"), left.column("held_out"), pa.array(size, pa.int64()), pa.array(sure, pa.int64()), pa.array(low), pa.array(inner), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.float64()))], schema=arrow)
+        return pa.concat_tables([docs, pa.Table.from_pylist([{"block": block[0].as_py(), "names": names.tolist(), "roots": roots.tolist()}], schema=arrow)])
+
+    coded = materialise(dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encode, coded_schema), "coded")
+
+    pair_schema = "block long, context long, pair long, n long, up double"
+
+    def pairs_of(level: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            """Distinct pairs of a counted context and the next symbol: training count, and probability in the shorter context."""
+            kept: list[np.ndarray] = []
+            sums = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+            def merge(parts):
+                key, pair, m, up = map(np.concatenate, zip(*parts, strict=True))
+                pair, at, of = np.unique(pair, return_index=True, return_inverse=True)
+                return key[at], pair, np.bincount(of, m, len(pair)).astype(np.int64), up[at]
+
+            if left.num_rows:
+                levels = _levels(right, level - 1)
+                for part, symbol, root, first in _documents(left):
+                    logp, key, on = descend(symbol, root, first, levels)
+                    learned = ~np.repeat(part.column("held_out").to_numpy(), part.column("n_tokens").to_numpy())
+                    kept.append((key[on], mix(key, symbol)[on], learned[on].astype(np.int64), np.power(10.0, logp[on])))
+                    if len(kept) > 16:
+                        sums = merge([sums, *kept])
+                        kept.clear()
+                sums = merge([sums, *kept])
+            block = left.column("block")[0].as_py() if left.num_rows else 0
+            return pa.table({"block": pa.array(np.full(len(sums[0]), block)), "context": pa.array(sums[0]), "pair": pa.array(sums[1]), "n": pa.array(sums[2]), "up": pa.array(sums[3])})
+
+        return run
+
+    many = min(p.context_count, p.context_share * max(n, 1))
+    state = spark.createDataFrame([], "block long, level int, pair long, logp double, often boolean")
+    pull = F.lit(p.pull)
+    for level in range(1, p.depth + 1):
+        pairs = materialise(coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(pairs_of(level), pair_schema), "pairs")
+        sums = pairs.groupBy("context", "pair").agg(F.sum("n").alias("n"), F.max("up").alias("up"))
+        # as in SuffixTree.grow: of each occurrence against a distribution from the others
+        gain = F.sum(F.col("n") * F.log((F.greatest(F.col("n") - 1, F.lit(0)) + pull * F.col("up")) / F.col("up"))) - F.sum("n") * F.log(F.sum("n") - 1 + pull)
+        grown = sums.groupBy("context").agg(F.sum("n").alias("total"), gain.alias("gain")).where(F.col("gain") >= p.divergence)
+        value = F.log10((F.col("n") + pull * F.col("up")) / (F.col("total") + pull))
+        scored = sums.join(grown.select("context", "total"), "context", "left").select("pair", value.alias("logp"), (F.col("n") >= many).alias("often"))
+        back = pairs.select("block", "pair").join(scored.where("often or logp is not null"), "pair")
+        state = state.unionByName(materialise(back.select("block", F.lit(level).alias("level"), "pair", "logp", "often"), "state"))
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return out.empty_table()
+        levels, parts = _levels(right, p.depth), []
+        for part, symbol, root, first in _documents(left):
+            total = np.add.reduceat(descend(symbol, root, first, levels)[0], np.unique(first)) + part.column("within").to_numpy()
+            parts.append(pa.Table.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(total), n)), part.column("base_score"), pa.array(total)], schema=out))
+        return pa.concat_tables(parts)
+
+    return coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(score, schema)

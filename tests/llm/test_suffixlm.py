@@ -63,3 +63,41 @@ def test_empty_and_no_training_rows(spark):
 
     r = L.score_documents(df, hold=F.lit(True)).first()
     assert r.train_tokens == 0 and r.n_known == 0 and r.n_tokens == 3 and r.score < 0
+
+
+def test_the_tree_grows_and_equals_the_tree_of_one_process(spark):
+    """Least counts are absolute: words and contexts of 1e-5 of the tokens count once they occur often enough."""
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["a c b d", "e c b f", "q", "z y"]) if r.random() < 0.9 else f"w{r.randint(0, 99)}x{r.randint(0, 9)}" for _ in range(80))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # shares of one half would leave neither symbols nor contexts
+    p = L.Params(block_bytes=20_000, symbol_share=0.5, context_share=0.5, symbol_count=30, context_count=30)
+    got = {x.doc_id: x.score for x in L.score_documents(df, p).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(w for i, t in rows if not held(i) for w in L.tokens(t))
+    e = Counter()
+    for w, m in c.items():
+        if m < 30:
+            e[w[-3:]] += m
+    symbol = lambda w: ("w", w) if c[w] >= 30 else ("e", w[-3:]) if e[w[-3:]] >= 30 else "other"
+    ids = {s: 3 + k for k, s in enumerate(sorted({symbol(w) for _, t in rows for w in L.tokens(t)} - {"other"}))} | {"other": L.OTHER}
+    n, v = np.zeros(2 + len(ids)), np.zeros(2 + len(ids))
+    for w, m in c.items():
+        n[ids[symbol(w)]] += m
+        v[ids[symbol(w)]] += 1
+    seq = {i: np.array([*(ids[symbol(w)] for w in L.tokens(t)), L.END]) for i, t in rows}
+    learn = [i for i, _ in rows if not held(i)]
+    tree = L.SuffixTree(n, v, len(learn), p.pull, p.divergence)
+    flat, first = L.joined([seq[i] for i in learn])
+    wanted = None
+    for d in (1, 2, 3):
+        k = L.contexts(flat, first, d)
+        on = np.ones(len(k), bool) if wanted is None else np.isin(k, wanted)
+        pair, m = np.unique((k[on] << 16) | flat[on], return_counts=True)
+        tree.grow(pair >> 16, pair & 65535, m)
+        wanted = pair[(m >= 30) & (pair & 65535 != L.END)]
+    assert len(tree.levels[2][0]) >= 2
+    for i, t in rows:
+        within = sum(math.log10((c[w] + 1) / tree.mass[ids[symbol(w)]]) for w in L.tokens(t))
+        want = tree.log_symbols(seq[i], np.zeros(len(seq[i]), int)).sum() + within
+        assert math.isclose(got[i], want, rel_tol=1e-9), i
