@@ -32,12 +32,19 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages of documents; the source stands for the host.  The column ``lang`` labels the text model's sample and is no evidence of its row."""
+    """Languages of documents and pages, identified together; one of ``doc_id`` and ``page_id`` is null.
+
+    The source of a document stands for its host; a page has its host, domain,
+    markup language and address suffix.  The column ``lang`` labels the text
+    model's sample and is no evidence of its row.
+    """
     docs = _table(spark, sf_dir, "documents")
     p = langid.Params()
     langs, table = langid.train_text(docs, p)
-    out = langid.identify(docs.select("doc_id", "text", F.col("source").alias("host")), ["doc_id"], langs, table, p)
-    return out.select("doc_id", langid.held_out().alias("held_out"), "language", "confidence", "accepted")
+    pages = langid.page_evidence(_table(spark, sf_dir, "pages"))
+    rows = docs.select("doc_id", "text", F.col("source").alias("host")).unionByName(pages, allowMissingColumns=True)
+    out = langid.identify(rows, ["doc_id", "page_id"], langs, table, p)
+    return out.select("doc_id", "page_id", langid.held_out().alias("held_out"), "language", "confidence", "accepted")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,18 @@ def test_empty(spark):
     langs, table = langid.train_text(docs)
     assert langs == ["und"] and langid.identify(docs, ["doc_id"], langs, table).count() == 0
     assert langid.keep_identified(docs).count() == 0
+
+
+def test_query_fuses_the_evidence_of_pages(spark, tmp_path):
+    """Pages are identified beside documents: markup, address and host decide where the text is too short to."""
+    from siftloom.llm import queries
+
+    spark.createDataFrame(rows(300, 4), "doc_id long, text string, lang string, source string, n int").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(i, f"http://{lang}.site.org/{lang}/{i}", f'<html lang="{lang}"><p>{t}</p></html>') for i, t, lang, *_ in rows(200, 5)]
+    pages += [(1000, "http://de.site.org/de/1", '<html lang="de">in</html>'), (1001, "http://fr.site.org/fr/1", "<p>12</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.op3_language_id(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in out if r.page_id is None) == list(range(300))
+    got = {r.page_id: r for r in out if r.page_id is not None}
+    assert len(got) == len(pages) and all(r.doc_id is None for r in got.values())
+    assert got[1000].language == "de" and got[1000].confidence > 0.9 and not got[1001].accepted
