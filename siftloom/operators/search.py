@@ -90,11 +90,11 @@ def with_fallback(hits: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def search_corpus(pages: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Local stand-in for a search service: pages (title, url, snippet) that share a token with the query, best first."""
+    """Local stand-in for a search service: pages (title, url, snippet, and body where present) that share a token with the query, best first."""
     need = query_tokens(query)
     from ..functions.text import tokens
 
-    hay = tokens(F.concat_ws(" ", "title", "snippet", "url"))
+    hay = tokens(F.concat_ws(" ", "title", "body" if "body" in pages.columns else "snippet", "url"))
     hits = pages.where(F.arrays_overlap(hay, scoring.array_literal(need)))
     score = scoring.search_score(query, F.col("title"), F.col("url"), F.col("snippet"))["total"]
     return hits.withColumn("quality_score", score).orderBy(F.desc("quality_score"), F.collate("url", "UNICODE")).limit(limit)

@@ -39,13 +39,13 @@ def extracted(pages: DataFrame, max_chars: int | None = None, parts: tuple[str,
 def search_and_extract(pages: DataFrame, query: str, limit: int = 10, language: str = "de", max_chars: int = 8000, mode: str = "text") -> DataFrame:
     """Best pages for a query with their text, quality and trust; chunks for mode ``chunks``.
 
-    Pages are found by title, address and the first 500 characters of their
-    text, one per content hash, ranked by score, then address.
+    Pages are found by title and whole text, one per content hash, and ranked by
+    title, address and the first 500 characters of their text, then address.
     """
     parts = (*MAIN, "markdown") if mode == "markdown" else (*MAIN, "sections") if mode == "chunks" else MAIN
     x = extracted(pages, None, parts)
     hits = x.withColumn("snippet", F.substring("main_text", 1, 500)).where("title is not null")
-    hits = hits.where(F.arrays_overlap(text.tokens(F.concat_ws(" ", "title", "snippet")), scoring.array_literal(text.query_tokens(query))))
+    hits = hits.where(F.arrays_overlap(text.tokens(F.concat_ws(" ", "title", "main_text")), scoring.array_literal(text.query_tokens(query))))
     hits = dedupe.keep_first(hits, F.col("content_hash"), ["page_id"])
     top = search.rerank(hits.withColumnRenamed("url", "page_url").withColumn("url", F.col("final_url")), query, language, limit)
     rel = scoring.relevance(query, F.col("title"), F.col("url"), F.col("headings")["text"], F.col("snippet"), F.col("metadata.meta_description"), F.col("main_text"))

@@ -26,10 +26,10 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def titled(spark: SparkSession, d: str) -> DataFrame:
-    """Pages as search hits: the title, the address, and the first 500 characters of the article's markup-free text."""
+    """Pages as search hits: the title, the address, the article's markup-free text (body), and its first 500 characters (snippet)."""
     p = table(spark, d, "pages")
     body = text.squeeze(F.regexp_replace(F.regexp_extract("html", r"(?s)<article>(.*?)</article>", 1), "<[^>]*>", " "))
-    return p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.substring(body, 1, 500).alias("snippet"), (F.col("page_id") % 12).cast("int").alias("position"))
+    return p.select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), "url", F.substring(body, 1, 500).alias("snippet"), body.alias("body"), (F.col("page_id") % 12).cast("int").alias("position"))
 
 
 # --- URLs ---

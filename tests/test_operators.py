@@ -210,3 +210,16 @@ def test_domain_hits_and_byte_cut(spark):
         cut, more = text.truncate_bytes(F.col("s"), n)
         got = spark.createDataFrame([(s,)], "s string").select(cut.alias("c"), more.alias("m")).first()
         assert got.c == s.encode()[:n].decode(errors="ignore") and got.m == (n < len(s.encode()))
+
+
+def test_searches_find_words_beyond_the_snippet(spark):
+    """Pages whose only match lies after the first 500 characters are candidates."""
+    from siftloom.operators import search
+    from siftloom.plans import pipelines
+
+    late = "filler words of a page. " * 60 + "zebra"
+    html = "<html><head><title>{}</title></head><body><article><h1>H</h1><p>{}</p></article></body></html>"
+    pages = spark.createDataFrame([(1, "https://h.example/a", html.format("One", late)), (2, "https://h.example/b", html.format("Two", "nothing here at all"))], "page_id long, url string, html string")
+    assert [r.page_id for r in pipelines.search_and_extract(pages, "zebra", 10, "en").collect()] == [1]
+    hits = spark.createDataFrame([(1, "One", "https://h.example/a", late[:500], late), (2, "Two", "https://h.example/b", "none", "none")], "page_id long, title string, url string, snippet string, body string")
+    assert [r.page_id for r in search.search_corpus(hits, "zebra").collect()] == [1]
