@@ -127,6 +127,22 @@ def claim_similar_pairs(spark, d):
     return claims.similar_pairs(s, "doc_id", "s").select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
 
 
+def all_sentences(spark, d):
+    """Every sentence of every document, keyed by document and place."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "s"))
+
+
+@query
+def claim_signature_all(spark, d):
+    return all_sentences(spark, d).select("doc_id", "pos", text.signature(F.col("s")).alias("signature"))
+
+
+@query
+def claim_similar_pairs_all(spark, d):
+    p = claims.similar_pairs(all_sentences(spark, d).withColumn("k", F.struct("doc_id", "pos")), "k", "s")
+    return p.select(F.col("key_a.doc_id").alias("doc_a"), F.col("key_a.pos").alias("pos_a"), F.col("key_b.doc_id").alias("doc_b"), F.col("key_b.pos").alias("pos_b"), F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def numbers_negation(spark, d):
     t = F.col("text")
@@ -139,6 +155,15 @@ def contradiction_notes(spark, d):
     return s.select("doc_id", text.contradiction(F.col("s")[0], F.col("s")[1]).alias("note"))
 
 
+@query
+def contradiction_notes_all(spark, d):
+    """Notes of all adjacent sentences; ``pos`` is the first one's."""
+    s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s")).where(F.size("s") >= 2)
+    s = s.select("doc_id", F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
+    s = s.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x"))
+    return s.select("doc_id", "pos", text.contradiction(F.col("x")["a"], F.col("x")["b"]).alias("note"))
+
+
 @query
 def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("content_hash"), text.content_hash(text.squeeze(F.col("text"))).alias("squeezed_hash"))
@@ -295,6 +320,14 @@ def dedupe_greedy(spark, d):
     return dedupe.dedupe_pages(t, "canonical_and_hash", ["source"], "doc_id").select("doc_id", "is_duplicate", "matched_on")
 
 
+@query
+def dedupe_greedy_whole(spark, d):
+    """Four-mode page dedupe over documents by source: canonical keys and content hashes of whole texts."""
+    k = F.col("doc_id")
+    t = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("http://h/"), k).alias("url"), F.concat(F.lit("http://h/c"), F.length("text") % 40).alias("canonical_url"), text.content_hash(F.col("text")).alias("content_hash"))
+    return dedupe.dedupe_pages(t, "canonical_and_hash", ["source"], "doc_id").select("doc_id", "is_duplicate", "matched_on")
+
+
 # --- contacts, leads ---
 
 

@@ -223,3 +223,19 @@ def test_searches_find_words_beyond_the_snippet(spark):
     assert [r.page_id for r in pipelines.search_and_extract(pages, "zebra", 10, "en").collect()] == [1]
     hits = spark.createDataFrame([(1, "One", "https://h.example/a", late[:500], late), (2, "Two", "https://h.example/b", "none", "none")], "page_id long, title string, url string, snippet string, body string")
     assert [r.page_id for r in search.search_corpus(hits, "zebra").collect()] == [1]
+
+
+def test_claim_queries_use_every_sentence_and_whole_texts(spark, tmp_path):
+    """What the queries with SQL don't see: later sentences, and texts that part after their first characters."""
+    from siftloom.plans.registry import QUERIES as Q
+
+    same = "The harbour council approved seventeen separate ferry landing permits during winter meetings."
+    a = f"An opening sentence about mountains and their many glaciers in the northern summer season. {same}"
+    b = f"Another beginning that speaks of desert railways and of copper mines beyond the river. {same}"
+    c = "An opening sentence about something wholly different, namely beekeeping in coastal villages today."
+    spark.createDataFrame([(1, a, "s"), (2, b, "s"), (3, c, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {tuple(r) for r in Q[name](spark, str(tmp_path)).collect()}
+    assert {x[:4] for x in run("claim_similar_pairs_all")} == {(1, 1, 2, 1)}
+    assert {x[:2] for x in run("claim_signature_all")} == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)}
+    assert {x[:2] for x in run("contradiction_notes_all")} == {(1, 0), (2, 0)}
+    assert not any(x[2] == "content_hash" for x in run("dedupe_greedy_whole"))
