@@ -31,12 +31,15 @@ _SLOTS = 1 << 16
 
 @dataclass(frozen=True)
 class Params:
-    """``max_rows``: expected number of labelled rows that the text model is fitted on (by a hash of the id).
+    """``language_rows``: expected number of labelled rows of each language that the text model is fitted on (by a hash of the id).
 
-    A row is rejected if its text has no letter or if no language reaches ``least``.
+    More than ``max_languages`` labels are an error.  A row is rejected if its
+    text has no letter, if no language reaches ``least``, or if the language
+    that fits best gives its trigrams of letters less than a uniform guess would.
     """
 
-    max_rows: int = 20_000
+    language_rows: int = 5_000
+    max_languages: int = 256
     temper: float = 0.2
     smoothing: float = 0.5
     host_pull: float = 20.0
@@ -64,14 +67,18 @@ def _inner(off: np.ndarray) -> np.ndarray:
 def train_text(docs: DataFrame, p: Params | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and the table of log probabilities (slots x languages) from ``docs(doc_id, text, lang)``.
 
-    Rows without label or held out are not used.  No labelled rows give one
-    language, ``und``.
+    Rows without label or held out are not used.  Every language that is left
+    is known, however rare.  No labelled rows give one language, ``und``.
     """
     p = p or Params()
     small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and lang <> ''").where(~held_out()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    total = labelled.count()
-    part = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, p.max_rows / max(total, 1))))
+    sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(p.max_languages + 1).collect()}
+    if len(sizes) > p.max_languages:
+        raise ValueError(f"more than {p.max_languages} languages")
+    langs = sorted(sizes) or ["und"]
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, p.language_rows / n))]) if sizes else F.lit(None)
+    part = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000)) < (share[F.col("lang")] * 1_000_000 if sizes else F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -88,9 +95,8 @@ def train_text(docs: DataFrame, p: Params | None = None) -> tuple[list[str], np.
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "slot", "n"])
 
-    # at most languages x 65,536 rows, from a bounded sample
+    # at most max_languages x 65,536 rows, from a bounded sample
     rows = labelled.where(part).select("text", "lang").mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(rows.column(0).to_pylist())) or ["und"]
     table = np.full((_SLOTS, len(langs)), p.smoothing)
     where = {x: i for i, x in enumerate(langs)}
     table[rows.column(1).to_numpy(), [where[x] for x in rows.column(0).to_pylist()]] += rows.column(2).to_numpy()
@@ -98,33 +104,41 @@ def train_text(docs: DataFrame, p: Params | None = None) -> tuple[list[str], np.
 
 
 def text_likelihood(df: DataFrame, key: list[str], langs: list[str], table: np.ndarray, p: Params) -> DataFrame:
-    """``key`` columns, has_letters, and tempered log likelihoods (array, one per language)."""
+    """``key`` columns, has_letters, fits, and tempered log likelihoods (array, one per language).
+
+    ``fits``: under its best language a trigram of letters is no less likely
+    than under a uniform guess over the table (true without such trigrams).
+    """
     shared = df.sparkSession.sparkContext.broadcast(table)  # of fixed size
     letter = np.zeros(256, dtype=bool)
     letter[[*range(65, 91), *range(97, 123), *range(0xC3, 0x100)]] = True
     from pyspark.sql import types as T
 
-    schema = T.StructType([*[df.schema[k] for k in key], T.StructField("has_letters", T.BooleanType()), T.StructField("loglik", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*[df.schema[k] for k in key], T.StructField("has_letters", T.BooleanType()), T.StructField("fits", T.BooleanType()), T.StructField("loglik", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in slices(batches, max_bytes=1 << 20):
             data, off = text_buffers(b.column(b.num_columns - 1))
             out = np.zeros((b.num_rows, len(langs)), dtype=np.float32)
-            some = np.zeros(b.num_rows, dtype=bool)
+            some, fits = np.zeros(b.num_rows, dtype=bool), np.ones(b.num_rows, dtype=bool)
             full, starts = segment_starts(off)
             if len(data):
                 some[full] = np.logical_or.reduceat(letter[data], starts)
             if len(data) >= 3:
-                s = _slots(data)
+                s, word = _slots(data), letter[data] | (data >= 0x80)
                 n = _inner(off)
                 own = np.flatnonzero(n)
                 bounds = np.concatenate([[0], np.cumsum(n)])
                 pick = np.repeat(off[:-1] - bounds[:-1], n) + np.arange(bounds[-1])
                 if len(own):
-                    out[own] = np.add.reduceat(t[s[pick]], bounds[own], axis=0) * p.temper
+                    logs = t[s[pick]]
+                    out[own] = np.add.reduceat(logs, bounds[own], axis=0) * p.temper
+                    inner = (word[:-2] & word[1:-1] & word[2:])[pick]
+                    logs[~inner] = 0
+                    fits[own] = np.add.reduceat(logs, bounds[own], axis=0).max(axis=1) >= -(np.log(_SLOTS) + 1e-3) * np.add.reduceat(inner, bounds[own], dtype=np.int64)
             ends = np.arange(b.num_rows + 1, dtype=np.int32) * len(langs)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(some), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.reshape(-1)))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(some), pa.array(fits), pa.ListArray.from_arrays(pa.array(ends), pa.array(out.reshape(-1)))], names=schema.names)
 
     return df.select(*key, "text").mapInArrow(run, schema)
 
@@ -152,7 +166,7 @@ def identify(df: DataFrame, key: list[str], langs: list[str], table: np.ndarray,
     ``df`` holds ``key`` columns, ``text`` and, optionally, ``declared`` (language
     of the markup), ``suffix`` (of the address), ``domain`` and ``host``.  A row
     whose text has no letters has no language (null), confidence 0, and is not
-    accepted.  Ties go to the language that comes first by code.
+    accepted; nor is one whose text no language fits.  Ties go to the language that comes first by code.
     """
     p, n = p or Params(), len(langs)
     for c in ("declared", "suffix", "domain", "host"):
@@ -194,7 +208,7 @@ def identify(df: DataFrame, key: list[str], langs: list[str], table: np.ndarray,
         *key,
         F.when(F.col("has_letters"), F.element_at(names, F.array_position("post", best).cast("int"))).alias("language"),
         F.when(F.col("has_letters"), best).otherwise(F.lit(0.0)).alias("confidence"),
-        (F.col("has_letters") & (best >= p.least)).alias("accepted"),
+        (F.col("has_letters") & F.col("fits") & (best >= p.least)).alias("accepted"),
     )
 
 

@@ -42,6 +42,23 @@ def test_markup_address_and_host_settle_short_texts(spark):
     assert out[1002].language == "fr" and not out[1001].accepted
 
 
+def test_texts_that_no_language_fits_are_rejected_and_rare_languages_are_known(spark):
+    data = rows(300, 6) + [(500, "це зовсім інша мова " * 20, "en", "s0", 1), (501, "δεν είναι " * 9, None, "s1", 1), (502, "zzq " * 50, None, "s0", 1)]
+    data += [(600 + i, "och det är inte för en som " * 4, "sv", "s9", 1) for i in range(3)]
+    docs = spark.createDataFrame([x for x in data if x[0] != 500], "doc_id long, text string, lang string, source string, n int")
+    langs, table = langid.train_text(docs, langid.Params(language_rows=50))
+    assert langs == ["de", "en", "fr", "sv"]
+    every = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n int")
+    out = {r.doc_id: r for r in langid.identify(every, ["doc_id"], langs, table).collect()}
+    assert not any(out[i].accepted for i in (500, 501, 502)) and all(r.accepted for i, r in out.items() if i < 300)
+    assert out[600].language == "sv"
+    try:
+        langid.train_text(docs, langid.Params(max_languages=3))
+    except ValueError:
+        return
+    raise AssertionError("too many languages")
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
     langs, table = langid.train_text(docs)
