@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("w")).where("u > w").distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        now = materialise(_star(_star(now, True), False), "edges")
+        last, now = now, materialise(_star(_star(now, True), False), "edges")
+        discard(last)
         # equal sums of a strong hash over equal counts: the edge set stands still
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import materialise, small_batches
+from .store import discard, materialise, small_batches
 from .words import BLANK, U64, Words, mix, segment_starts, slices
 
 
@@ -229,10 +229,14 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = materialise(signatures(docs, p), "signatures")
-    some = sig.where("digest is not null and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    # written, so that its join to the rows is of two plain exchanges, where Spark splits a class of many rows
+    classes = materialise(sig.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     # several classes may share rows of one id: those are links too
-    reps = materialise(some.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "sketch", F.col("n_shingles").alias("n")), "representatives")
+    reps = sig.where("digest is not null").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest")), ["doc_id", "digest"])
+    reps = materialise(reps.dropDuplicates(["doc_id", "digest"]).select("doc_id", "bands", "sketch", F.col("n_shingles").alias("n")), "representatives")
+    rows = materialise(sig.select("doc_id", "n_shingles", "digest"), "rows")
+    discard(sig)
+    some = rows.where("digest is not null and doc_id is not null")
     owner = some.select("doc_id", "digest").join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
     keyed = reps.select("doc_id", F.explode("bands").alias("key"))
@@ -259,9 +263,11 @@ def near_duplicates(docs: DataFrame, params: Params | None = None) -> DataFrame:
     members = marked.join(split, "key").join(sketches, "doc")
     second = confirm(_cross(members.select("key", "doc", "label", "n", "sketch"), p), sets, p)
 
-    links = first.unionByName(second)
+    links = materialise(first.unionByName(second), "all-links")
+    discard(buckets, best, sets, first)
     linked = components(links.unionByName(owner.join(some.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")))
-    out = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").join(linked.withColumnRenamed("vertex", "rep"), "rep", "left")
+    discard(links, reps)
+    out = rows.join(classes, "digest", "left").join(linked.withColumnRenamed("vertex", "rep"), "rep", "left")
     # a row whose id is linked under another class of the same id
     component = F.when(F.col("doc_id").isNotNull(), F.least(F.coalesce("component", "rep", "doc_id"), F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
