@@ -238,42 +238,42 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(feats: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
-    """Fit on labelled rows outside the held-out part.
+def train(docs: DataFrame, labels: DataFrame, p: Params | None = None) -> Model:
+    """Fit on labelled rows of ``docs(doc_id, text)`` outside the held-out part.
 
     ``labels(doc_id, quality)``: null labels are ignored, several labels of one
     id give their mean, rounded up.  At most ``max_rows`` rows, the smallest by
-    a hash of the id, come to the driver.
+    a hash of the id, are read and come to the driver; their ids are chosen
+    before any text is read.
     """
     p = p or Params()
     one = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.ceil(F.avg(F.col("quality").cast("double"))).cast("int").alias("quality"))
-    rows = feats.where(~held_out()).join(one, "doc_id").select("features", "quality", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(p.max_rows).collect()
+    h = F.xxhash64("doc_id").alias("h")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).join(one.select(F.col("doc_id").cast("long").alias("doc_id"), "quality"), "doc_id")
+    chosen = F.broadcast(materialise(ids.orderBy(h, "doc_id").limit(p.max_rows).distinct(), "chosen"))  # max_rows rows at most
+    feats = document_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select("doc_id"), "doc_id", "left_semi"))
+    rows = feats.join(chosen, "doc_id").select("features", "quality", h, "doc_id").orderBy("h", "doc_id").limit(p.max_rows).collect()
     return fit(np.array([r.features for r in rows], dtype=np.float32), np.array([r.quality for r in rows], dtype=float), p)
 
 
-def score(feats: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Add score and predicted to rows that have ``features``."""
-    shared = feats.sparkSession.sparkContext.broadcast(model)  # tables of fixed size
+def classify(docs: DataFrame, labels: DataFrame, p: Params | None = None, threshold: float = 0.7) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))  # tables of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, len(FEATURES))
-            s = shared.value.score(x)
+        for b in slices(batches):
+            s = model.value.score(features(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return feats.select("doc_id", "features").mapInArrow(run, "doc_id long, score double, predicted int")
-
-
-def classify(docs: DataFrame, labels: DataFrame, p: Params | None = None, threshold: float = 0.7) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of ``docs(doc_id, text)``."""
-    feats = materialise(document_features(docs), "features")
-    return score(feats, train(feats, labels, p), threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, p: Params | None = None, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score below ``threshold``; all columns stay.  Texts are scored where they lie."""
-    feats = materialise(document_features(docs), "features")
-    model = docs.sparkSession.sparkContext.broadcast(train(feats, labels, p))
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
