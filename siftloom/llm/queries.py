@@ -79,23 +79,25 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, kept by batches.
 
-    Batch ``load`` inserts every document under the first tokenizer, ``upgrade``
-    every one under the second; ``copies`` deletes, under both, rows whose text
-    repeats that of a smaller id.  Each batch is sent twice.
+    Batch ``load`` inserts every document under both tokenizers, the second with
+    the first's counts; ``revised`` corrects those to its own; ``copies`` deletes,
+    under both, rows whose text repeats that of a smaller id.  Each batch is sent
+    twice, and the second time changes nothing.
     """
     import public_tokenizers
 
     versions = {"byte-bpe-multi-1": ("ranks", _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN), "word-bpe-1": ("word", _vocabulary("word_bpe_49k.json"))}
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.md5("text").alias("digest"), "text")
     counted = materialise(rollup.count_tokens(docs, versions).drop("text"), "counts")
-    both = counted.select("doc_id", "source", "lang", "digest", F.posexplode("n_tokens").alias("v", "n"))
+    both = counted.select("doc_id", "source", "lang", "digest", F.posexplode("n_tokens").alias("v", "n"), F.element_at("n_tokens", 1).alias("n_first"))
     both = both.withColumn("version", F.element_at(F.array(*[F.lit(x) for x in sorted(versions)]), F.col("v") + 1))
-    first = counted.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    # written, so that the join to the rows is of two plain exchanges, where Spark splits a text of many rows
+    first = materialise(counted.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first")), "first")
     copies = both.join(first, "digest").where("doc_id > first")
     store = rollup.Rollup(spark, scratch(spark, "rollup"))
     for _ in range(2):
-        store.commit("load", rollup.inserts(both.where("v = 1")))
-        store.commit("upgrade", rollup.inserts(both.where("v = 0")))
+        store.commit("load", rollup.inserts(both.withColumn("n", F.col("n_first"))))
+        store.commit("revised", rollup.revisions(both.where("v > 0").select("source", "lang", "version", F.col("n_first").alias("n_old"), F.col("n").alias("n_new"))))
         store.commit("copies", rollup.deletes(copies))
     return store.totals()
 
