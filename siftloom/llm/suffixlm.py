@@ -8,49 +8,64 @@ the symbol.
 
 The tree's contexts are the last one to ``depth`` symbols of the document.  They
 are grown level by level: a context is counted if it occurs ``context_count``
-times (or ``context_share`` of all tokens, if that is fewer), and retained if its
-next-symbol distribution diverges from that of the next shorter one by
-``divergence`` nats over its occurrences, each left out in turn.  Distributions are smoothed by the
-shorter context's; a symbol is scored in the longest retained suffix state.  The
-least counts don't rise with the corpus, so symbols and contexts grow with it.
-
-Documents are dealt into blocks.  The distinct words of a block go to the counts
-and come back with their symbols, and so do, level by level, its distinct pairs of
-context and symbol: the tree is a table that no process holds as a whole.
+times in training, and retained if its next-symbol distribution diverges from that
+of the next shorter one by ``divergence`` nats over its occurrences, each left out
+in turn.  Distributions are smoothed by the shorter context's; a symbol is scored
+in the longest retained suffix state.  Least counts are absolute, so symbols and
+contexts grow with the corpus: a passage that occurs twice is remembered.
+
+The texts are tokenised once, into blocks of some megabytes: one row with the
+places of its tokens in the block's list of distinct words.  Words and, level by
+level, contexts are counted by exchange: a block sends its distinct ones, with
+their counts, to parts by hash, as a few packed arrays; a part sums what all
+blocks sent and answers each in the order of its question.  No process holds the
+tree, a part's size is bounded, and a frequent word or context comes to a part
+once a block.  Leaving each occurrence out, a context none of whose successors
+occurs twice can't be retained, so nothing but that is answered about it.
+
+Words and contexts are told apart by 64-bit hashes, the contexts within a part by
+48 bits and the successors of one context by 32; the divergence test knows the
+shorter context's probabilities to 1/1024 of a decade.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, small_batches
-from .words import slices
+from .store import discard, materialise, small_batches
+from .words import BLANK, U64, Words, slices
+from .words import mix as scramble
 
 #: Symbols besides those of words.
 START, END, OTHER = 0, 1, 2
-_BITS = 16
+_DECADE = 1024
 
 
 @dataclass(frozen=True)
 class Params:
-    """``ending``: bytes of the endings; ``pull``: weight of the shorter context; ``block_bytes``: text in one block."""
+    """``ending``: bytes of the endings (1 to 3); ``pull``: weight of the shorter context; ``block_bytes``: text in one block; ``part_rows``: words or tokens for each part of an exchange."""
 
     depth: int = 3
     symbol_count: int = 64
-    context_count: int = 64
     symbol_share: float = 3e-4
-    context_share: float = 1e-4
+    context_count: int = 2
     ending: int = 3
     divergence: float = 6.0
     pull: float = 5.0
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
+    part_rows: int = 1_500_000
+
+    def __post_init__(self):
+        if self.depth < 1 or not 1 <= self.ending <= 3 or self.context_count < 2 or self.symbol_count < 1 or not 0 < self.symbol_share <= 1 or self.pull <= 0 or min(self.block_bytes, self.part_rows) < 1:
+            raise ValueError(f"parameters out of range: {self}")
 
 
 def held_out() -> F.Column:
@@ -63,291 +78,405 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over the texts of ``docs``; each task sums its own words first."""
+# --- packed arrays ---
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
 
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-            c.clear()
-            return out
+def pack(a: np.ndarray, dtype, width: int | None = None) -> bytes:
+    """The lowest ``width`` bytes of each number, all first bytes first, compressed."""
+    a = np.ascontiguousarray(a, dtype=dtype)
+    planes = a.view(np.uint8).reshape(len(a), a.itemsize)[:, :width]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
+
+
+def unpack(data: bytes, dtype, width: int | None = None) -> np.ndarray:
+    dtype = np.dtype(dtype)
+    width = width or dtype.itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], dtype.itemsize), dtype=np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(dtype)
+
+
+def together(parts: list[bytes], dtype, width: int | None = None) -> np.ndarray:
+    return np.concatenate([*(unpack(x, dtype, width) for x in parts), np.zeros(0, dtype)])
+
+
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    kind = lambda t: pa.list_(_TYPES[t[6:-1]]) if t.startswith("array<") else _TYPES[t]
+    return pa.schema([(name, kind(t)) for name, t in (x.split() for x in ddl.split(", "))])
+
+
+def _row(values, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(values, schema, strict=True)], schema=schema)
+
+
+def mix(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """64-bit keys of contexts (or symbols) followed by symbols."""
+    return scramble(key.astype(U64) * U64(0x9E3779B97F4A7C15) + symbol.astype(U64))
+
+
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((scramble(key) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+
+
+def ranges(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """All places of some ranges, one range after the other."""
+    return np.repeat(start - (np.cumsum(width) - width), width) + np.arange(width.sum())
+
+
+# --- blocks of documents ---
+
+_BLOCK = "block long, doc_id array<long>, held array<boolean>, size array<long>, learned_docs long, learned_tokens long, tokens long, words long, codes binary, places binary, hash binary, ending binary, learned binary"
+
+
+def _endings(w: Words, n: int) -> np.ndarray:
+    """The last ``n`` bytes of each word, and how many there are."""
+    size = w.ends - w.starts
+    out = (np.minimum(size, n) << 24).astype(np.uint32)
+    for j in range(n):
+        out |= np.where(j < size, w.data[np.maximum(w.ends - 1 - j, 0)].astype(np.uint32) << np.uint32(8 * j), np.uint32(0)) if len(size) else out
+    return out
+
+
+def blocks_of(docs: DataFrame, p: Params) -> DataFrame:
+    """A row for each run of documents of ``docs(doc_id, text, held_out)``.
+
+    ``codes``: for each token the rank of its word by frequency in the block;
+    ``places``: for each rank the place in the sorted ``hash``; ``learned``: the
+    word's training tokens in the block.
+    """
+    schema = _arrow(_BLOCK)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+        ids, held, size, hashes, ends, held_bytes = [], [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, n = np.concatenate(hashes), np.concatenate(size)
+            keep = ~np.array(held, dtype=bool)
+            words, at, inv, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            learned = np.bincount(inv, np.repeat(keep, n), len(words)).astype(np.int64)
+            places = np.argsort(-count, kind="stable")
+            rank = np.empty(len(words), dtype=np.uint32)
+            rank[places] = np.arange(len(words), dtype=np.uint32)
+            row = [number, ids.copy(), held.copy(), n, int(keep.sum()), int(n[keep].sum()), len(h), len(words), pack(rank[inv], np.uint32), pack(places, np.uint32), pack(words, U64), pack(np.concatenate(ends)[at], np.uint32), pack(learned, np.uint32)]
+            return _row(row, schema)
 
         for b in slices(batches):
-            for x in b.column(0).to_pylist():
-                c.update(tokens(x))
-            if len(c) > 600_000:
+            w = Words(b.column(1), BLANK)
+            ids += b.column(0).to_pylist()
+            held += b.column(2).to_pylist()
+            size.append(w.counts())
+            hashes.append(w.hash)
+            ends.append(_endings(w, p.ending))
+            held_bytes += len(w.data)
+            if held_bytes >= p.block_bytes:
                 yield flush()
-        yield flush()
+                number, held_bytes = number + 1, 0
+                for x in (ids, held, size, hashes, ends):
+                    x.clear()
+        if ids:
+            yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, _BLOCK)
 
 
-def contexts(flat: np.ndarray, first: np.ndarray, d: int) -> np.ndarray:
-    """The ``d`` symbols before each position as an integer, START before a document's first.
+def exchange(rows: DataFrame, parts: int, answer, schema: str) -> DataFrame:
+    """``answer`` of all rows that have come to one part, for every part."""
 
-    ``first``: the position where each symbol's document starts.
-    """
-    k, pos = np.zeros(len(flat), dtype=np.int64), np.arange(len(flat))
-    for j in range(d, 0, -1):
-        at = pos - j
-        k = (k << _BITS) | np.where(at >= first, flat[np.maximum(at, 0)], START)
-    return k
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if got:
+            yield from answer(pa.Table.from_batches(got))
+        pa.default_memory_pool().release_unused()
 
+    return rows.repartitionById(parts, "part").mapInArrow(run, schema)
 
-def joined(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sequences in a row, and for each symbol where its own starts."""
-    size = np.array([len(x) for x in sequences], dtype=np.int64)
-    return np.concatenate([*sequences, np.zeros(0, np.int64)]), np.repeat(np.cumsum(size) - size, size)
 
+def parts_for(rows: int, p: Params, usual: int) -> int:
+    return max(1, -(-rows // p.part_rows), min(usual, -(-rows // 100_000)))
 
-def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of ``wanted`` in sorted ``keys``, and which are there."""
-    if not len(keys):
-        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
-    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return i, keys[i] == wanted
 
+def _pieces(part: np.ndarray) -> list[tuple[int, int, int]]:
+    """Part, start and end of each run of a sorted array of parts."""
+    at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+    if not at:
+        return []
+    return [(int(part[s]), s, e) for s, e in zip(at, [*at[1:], len(part)], strict=True)]
 
-class SuffixTree:
-    """Retained contexts with smoothed next-symbol distributions (log10), in one process.
 
-    :func:`score_documents` has the same tree as a table; tests hold it against this.
-    """
+# --- words ---
 
-    def __init__(self, n: np.ndarray, v: np.ndarray, documents: int, pull: float, divergence: float):
-        #: Add-one mass of each symbol: tokens, distinct words, and one for words not seen.
-        self.mass = n + v + 1
-        root = self.mass.copy()
-        root[START], root[END] = 0, documents + 1
-        with np.errstate(divide="ignore"):
-            self.root = np.log10(root / root.sum())
-        self.pull, self.divergence = pull, divergence
-        self.levels: list[tuple] = []
-
-    def log_symbols(self, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol in its longest retained suffix state."""
-        return self._state(flat, [contexts(flat, first, d + 1) for d in range(len(self.levels))])
-
-    def _state(self, symbol: np.ndarray, ctx: list[np.ndarray]) -> np.ndarray:
-        out = self.root[symbol]
-        for (own, pay, pairs, logp), c in zip(self.levels, ctx, strict=True):
-            i, has = find(own, c)
-            if not has.any():
-                continue
-            j, hit = find(pairs, (c << _BITS) | symbol)
-            out = np.where(hit, logp[j], np.where(has, out + pay[i], out))
-        return out
-
-    def grow(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray) -> None:
-        """Add the level of the next longer contexts from their counts; those that don't diverge are left out."""
-        d = len(self.levels) + 1
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order], symbol[order], n[order].astype(np.float64)
-        own, of = np.unique(context, return_inverse=True)
-        total = np.bincount(of, n, len(own))
-        shorter = [context & ((1 << (_BITS * e)) - 1) for e in range(1, d)]
-        up = np.power(10.0, self._state(symbol, shorter)) if len(n) else n
-        prob = (n + self.pull * up) / (total[of] + self.pull)
-        # of each occurrence against a distribution from the others: rare successors of rare contexts prove nothing
-        gain = np.bincount(of, n * np.log((np.maximum(n - 1, 0) + self.pull * up) / ((total[of] - 1 + self.pull) * up)), len(own)) if len(n) else total
-        keep = gain >= self.divergence
-        pair = (context << _BITS) | symbol
-        on = keep[of] if len(n) else np.zeros(0, dtype=bool)
-        self.levels.append((own[keep], np.log10(self.pull / (total[keep] + self.pull)), pair[on], np.log10(prob[on])))
+_WORDS = "block long, part int, hash binary, ending binary, learned binary"
+_COUNTS = "block long, part int, n binary, e binary, en binary, ev binary, types long"
 
 
-def mix(key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """64-bit keys of contexts (or symbols) followed by symbols."""
-    x = key.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.int64).view(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))).view(np.int64)
+def word_counts(blocks: DataFrame, parts: int, least: float) -> DataFrame:
+    """Of each block and part the training tokens of its words; and of each part (block null) those and the words of endings, over words below ``least``, and the distinct words."""
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, h, e, n in zip(*(b.column(c).to_pylist() for c in ("block", "hash", "ending", "learned")), strict=True):
+                h, e, n = unpack(h, U64), unpack(e, np.uint32), unpack(n, np.uint32)
+                part = part_of(h, parts)
+                order = np.argsort(part, kind="stable")
+                h, e, n = h[order], e[order], n[order]
+                for k, s, t in _pieces(part[order]):
+                    yield _row((block, k, pack(h[s:t], U64), pack(e[s:t], np.uint32), pack(n[s:t], np.uint32)), asked)
 
-def descend(symbol: np.ndarray, logp: np.ndarray, first: np.ndarray, levels: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 probabilities in the longest retained context, keys of the next longer contexts, and which of these are counted.
+    asked, told = _arrow(_WORDS), _arrow(_COUNTS)
 
-    ``logp``: the root's.  ``levels``: of each length the sorted keys of pairs, their
-    log10 probabilities (NaN: not retained), and whether they are contexts themselves.
-    """
-    inside = np.arange(len(symbol)) > first
-    key, on = np.where(inside, np.roll(symbol, 1), START), np.ones(len(symbol), dtype=bool)
-    for keys, value, often in levels:
-        pair = mix(key, symbol)
-        i, hit = find(keys, pair)
-        if not len(keys):
-            return logp, key, np.zeros(len(symbol), dtype=bool)
-        hit &= on
-        logp = np.where(hit & ~np.isnan(value[i]), value[i], logp)
-        key, on = np.roll(pair, 1), inside & np.roll(hit & often[i], 1)
-    return logp, key, on
-
-
-def _levels(right: pa.Table, depth: int) -> list[tuple]:
-    level, pair, logp, often = (right.column(c).to_numpy() for c in ("level", "pair", "logp", "often"))
-    out = []
-    for d in range(1, depth + 1):
-        at = np.flatnonzero(level == d)
-        at = at[np.argsort(pair[at])]
-        out.append((pair[at], logp[at], often[at].astype(bool)))
-    return out
+    def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        hs = [unpack(x, U64) for x in t.column("hash").to_pylist()]
+        words, at, inv = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+        n = np.bincount(inv, together(t.column("learned").to_pylist(), np.uint32), len(words)).astype(np.int64)
+        end = together(t.column("ending").to_pylist(), np.uint32)[at]
+        rare = (n > 0) & (n < least)
+        e, of = np.unique(end[rare], return_inverse=True)
+        own = pack(e, np.uint32), pack(np.bincount(of, n[rare], len(e)), np.int64), pack(np.bincount(of, minlength=len(e)), np.int64)
+        yield _row((None, None, None, *own, int((n > 0).sum())), told)
+        s = 0
+        for block, part, h in zip(t.column("block").to_pylist(), t.column("part").to_pylist(), hs, strict=True):
+            yield _row((block, part, pack(n[inv[s : s + len(h)]], np.int64), None, None, None, None), told)
+            s += len(h)
+
+    return exchange(blocks.select("block", "hash", "ending", "learned").mapInArrow(ask, _WORDS), parts, answer, _COUNTS)
+
+
+def ending_counts(counts: DataFrame) -> DataFrame:
+    """(e, n, v): training tokens and words below the least count of each ending."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            e, n, v = together(b.column(0).to_pylist(), np.uint32), together(b.column(1).to_pylist(), np.int64), together(b.column(2).to_pylist(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(e.astype(np.int64)), pa.array(n), pa.array(v)], names=["e", "n", "v"])
 
+    rows = counts.where("block is null").select("e", "en", "ev").mapInArrow(run, "e long, n long, v long")
+    return rows.groupBy("e").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
 
-def _documents(left: pa.Table) -> Iterator[tuple]:
-    """Some documents of a block at a time: their rows, symbols, root's log10 probabilities, and places of their first symbols."""
-    whole = left.filter(left.column("names").is_valid())
-    names, roots = (whole.column(c).combine_chunks().flatten().to_numpy() for c in ("names", "roots"))
-    docs = left.filter(left.column("ids").is_valid())
-    for at in range(0, docs.num_rows, 256):
-        part = docs.slice(at, 256)
-        ids = part.column("ids").combine_chunks()
-        size = ids.value_lengths().to_numpy()
-        flat = ids.flatten().to_numpy()
-        yield part, names[flat], roots[flat], np.repeat(np.cumsum(size) - size, size)
+
+# --- symbols ---
+
+_CODED = "block long, doc_id array<long>, held array<boolean>, size array<long>, known array<long>, base array<double>, within array<double>, ids binary, names binary, roots binary"
+
+
+@dataclass(frozen=True)
+class Root:
+    """What symbols need of all words: ``big``, ``mass``: frequent endings in order, with their add-one mass; ``rest``: the mass of the common symbol; ``total``: of all; ``documents``, ``tokens``, ``types``: of the training part."""
+
+    big: np.ndarray
+    mass: np.ndarray
+    rest: float
+    total: float
+    documents: int
+    tokens: int
+    types: int
+    least: float
+
+
+def encode(blocks: DataFrame, counts: DataFrame, parts: int, root: Root) -> DataFrame:
+    """Blocks with symbols for words: ``ids`` are ranks in ``names``, ``roots`` the root's log10 probabilities; each document ends in END."""
+    schema = _arrow(_CODED)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        row = left.to_pylist()[0]
+        h, end = unpack(row["hash"], U64), unpack(row["ending"], np.uint32)
+        n = np.empty(len(h), dtype=np.int64)
+        right = right.sort_by("part")
+        n[np.argsort(part_of(h, parts), kind="stable")] = together(right.column("n").to_pylist(), np.int64)
+        i = np.minimum(np.searchsorted(root.big, end), max(len(root.big) - 1, 0))
+        gathered = (root.big[i] == end) if len(root.big) else np.zeros(len(h), dtype=bool)
+        frequent = n >= root.least
+        symbol = np.where(frequent, h, np.where(gathered, scramble(end.astype(U64) + U64(1 << 40)), U64(OTHER)))
+        mass = np.where(frequent, n + 2.0, np.where(gathered, root.mass[i] if len(root.big) else 0.0, root.rest))
+        place = unpack(row["places"], np.uint32)[unpack(row["codes"], np.uint32)]
+        size = np.array(row["size"], dtype=np.int64)
+        ends = np.cumsum(size + 1) - 1
+        starts = ends - size
+        inner = np.ones(len(place) + len(size), dtype=bool)
+        inner[ends] = False
+
+        def each(of_word: np.ndarray, of_end: float) -> np.ndarray:
+            x = np.full(len(inner), of_end, dtype=np.float64)
+            x[inner] = of_word[place]
+            return np.add.reduceat(x, starts)
+
+        names, at, kind = np.unique(np.concatenate([symbol, [U64(END)]]), return_index=True, return_inverse=True)
+        ids = np.full(len(inner), kind[-1])
+        ids[inner] = kind[place]
+        order = np.argsort(-np.bincount(ids, minlength=len(names)), kind="stable")
+        rank = np.empty(len(names), dtype=np.uint32)
+        rank[order] = np.arange(len(names), dtype=np.uint32)
+        base = np.log10(n + 1.0)
+        known = each((n > 0).astype(float), float(root.documents > 0)).astype(np.int64)
+        low = each(base, np.log10(root.documents + 1)) - (size + 1) * np.log10(root.tokens + root.types + 1)
+        roots = np.log10(np.concatenate([mass, [root.documents + 1]])) - np.log10(root.total)
+        out = [row["block"], row["doc_id"], row["held"], size + 1, known, low, each(base - np.log10(mass), 0.0), pack(rank[ids], np.uint32), pack(names[order], U64), pack(roots[at][order], np.float64)]
+        return pa.Table.from_batches([_row(out, schema)])
+
+    answers = counts.where("block is not null").select("block", "part", "n")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _CODED)
+
+
+# --- levels of the tree ---
+
+_ASKED = "block long, part int, context binary, width binary, symbol binary, n binary, up binary"
+_ANSWER = "block long, level int, part int, state binary, total binary, n binary"
+#: Of a context: no successor occurs twice; one does; its distribution is retained.
+_PLAIN, _COUNTED, _RETAINED = 0, 1, 2
+
+
+def walk(row: dict, answers: list[dict[str, np.ndarray]], parts: int, p: Params) -> tuple[np.ndarray, list[tuple] | None]:
+    """log10 probabilities of a block's symbols in the longest contexts that ``answers`` retain, and what the block asks about the next longer ones."""
+    ids, names = unpack(row["ids"], np.uint32).astype(np.int64), unpack(row["names"], U64)
+    logp = unpack(row["roots"], np.float64)[ids]
+    size = np.array(row["size"], dtype=np.int64)
+    inside = np.ones(len(ids), dtype=bool)
+    inside[np.cumsum(size) - size] = False
+    learned = np.repeat(~np.array(row["held"], dtype=bool), size)
+    at, key = np.arange(len(ids)), np.append(names, U64(START))
+    context = np.where(inside, np.roll(ids, 1), len(names))
+    for level in range(len(answers) + 1):
+        pair, inv = np.unique((context << 32) | ids[at], return_inverse=True)
+        of, symbol = pair >> 32, names[pair & 0xFFFFFFFF]
+        first = np.flatnonzero(np.diff(of, prepend=-1))
+        width = np.diff(first, append=len(pair))
+        part = part_of(key[of[first]], parts)
+        order = np.argsort(part, kind="stable")
+        if level == len(answers):
+            up = np.empty(len(pair))
+            up[inv] = logp[at]
+            n = np.bincount(inv, learned[at], len(pair))
+            rows = []
+            for k, s, e in _pieces(part[order]):
+                c = order[s:e]
+                r = ranges(first[c], width[c])
+                rows.append((row["block"], k, pack(key[of[first[c]]], U64, 6), pack(width[c], np.uint32), pack(symbol[r], U64, 4), pack(n[r], np.uint32), pack(np.rint(np.maximum(up[r] * -_DECADE, 0)), np.uint16)))
+            return logp, rows
+        got = answers[level]
+        state, total = np.empty(len(first), dtype=np.uint8), np.zeros(len(first))
+        state[order] = got["state"]
+        total[order[got["state"] == _RETAINED]] = got["total"]
+        c = order[got["state"] != _PLAIN]
+        n = np.zeros(len(pair))
+        n[ranges(first[c], width[c])] = got["n"]
+        group = np.repeat(np.arange(len(first)), width)
+        kept = (state == _RETAINED)[group][inv]
+        i, j = at[kept], inv[kept]
+        logp[i] = np.log10((n[j] + p.pull * np.power(10.0, logp[i])) / (total[group[j]] + p.pull))
+        often = (n >= p.context_count)[inv]
+        following = at[often] + 1
+        here = (following < len(ids)) & inside[np.minimum(following, len(ids) - 1)]
+        key = mix(key[of], symbol)
+        at, context = following[here], inv[often][here]
+    return logp, None
+
+
+def judge(t: pa.Table, level: int, p: Params) -> Iterator[pa.RecordBatch]:
+    """Answers about the contexts of one part: their states, training occurrences of retained ones, and those of the pairs of all but plain ones."""
+    widths = [unpack(x, np.uint32).astype(np.int64) for x in t.column("width").to_pylist()]
+    width = np.concatenate(widths)
+    keys, of = np.unique(together(t.column("context").to_pylist(), U64, 6), return_inverse=True)
+    pair, inv = np.unique((np.repeat(of, width) << 32) | together(t.column("symbol").to_pylist(), U64, 4).astype(np.int64), return_inverse=True)
+    n = np.bincount(inv, together(t.column("n").to_pylist(), np.uint32), len(pair))
+    up = np.empty(len(pair))
+    up[inv] = np.power(10.0, together(t.column("up").to_pylist(), np.uint16) / -_DECADE)
+    c = pair >> 32
+    total = np.bincount(c, n, len(keys))
+    # of each occurrence against a distribution from the others: rare successors of rare contexts prove nothing
+    gain = np.bincount(c, n * np.log((np.maximum(n - 1, 0) + p.pull * up) / ((np.maximum(total, 1)[c] - 1 + p.pull) * up)), len(keys))
+    counted = np.bincount(c, n >= 2, len(keys)) > 0
+    state = np.where(counted, np.where(gain >= p.divergence, _RETAINED, _COUNTED), _PLAIN).astype(np.uint8)
+    told = _arrow(_ANSWER)
+    s = r = 0
+    for block, part, w in zip(t.column("block").to_pylist(), t.column("part").to_pylist(), widths, strict=True):
+        mine, pairs = of[s : s + len(w)], inv[r : r + w.sum()]
+        s, r = s + len(w), r + int(w.sum())
+        st = state[mine]
+        yield _row((block, level, part, pack(st, np.uint8), pack(total[mine][st == _RETAINED], np.int64), pack(n[pairs][np.repeat(st != _PLAIN, w)], np.int64)), told)
+
+
+def _answers(right: pa.Table, levels: int) -> list[dict[str, np.ndarray]]:
+    right = right.sort_by([("level", "ascending"), ("part", "ascending")])
+    level = right.column("level").to_numpy()
+    out = []
+    for d in range(levels):
+        mine = right.filter(pa.array(level == d))
+        out.append({c: together(mine.column(c).to_pylist(), k) for c, k in (("state", np.uint8), ("total", np.int64), ("n", np.int64))})
+    return out
 
 
 def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Learns from rows of ``docs(doc_id, text)`` that ``hold`` doesn't hold out.
-    Null text is empty: one token, the end.  Scores are log10.  With no training
-    rows the base and the tree are uniform.  Other columns are not used.
+    Null text is empty: one token, the end.  Rows of one id, and repeated rows,
+    are documents of their own.  Scores are log10.  With no training rows the
+    base and the tree are uniform.  Other columns are not used.
     """
     p = p or Params()
     spark = docs.sparkSession
     small_batches(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    d = d.withColumn("held_out", held_out() if hold is None else hold)
-    vocabulary = materialise(count_words(d.where(~F.col("held_out"))), "vocabulary")
-    stat = d.agg(F.count(F.when(~F.col("held_out"), 1)).alias("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    v = vocabulary.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    n, types = int(v.n) + int(stat.train), int(v.v) + int(stat.train > 0)
-
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    blocks = materialise(blocks_of(d.withColumn("held_out", held_out() if hold is None else F.coalesce(hold, F.lit(False))), p), "blocks")
+    stat = blocks.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("learned_docs", "learned_tokens", "tokens", "words")]).first()
+    documents, n = int(stat.learned_docs), int(stat.learned_tokens) + int(stat.learned_docs)
     least = min(p.symbol_count, p.symbol_share * max(n, 1))
-    frequent = F.col("n") >= least
-    ending = F.substring("word", F.greatest(F.octet_length("word") - p.ending + 1, F.lit(1)), F.lit(p.ending))
-    ends = vocabulary.where(~frequent).groupBy(ending.alias("e")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
-    ends = materialise(ends, "endings")
-    # add-one mass of a symbol: tokens, distinct words, and one for words not seen
-    big = ends.where(frequent).select("e", (F.col("n") + F.col("v") + 1).alias("e_mass"))
-    rest = ends.where(~frequent).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.coalesce(F.sum("v"), F.lit(0)) + 1).alias("m")).first().m
-    own = vocabulary.where(frequent).agg(F.coalesce(F.sum(F.col("n") + 2), F.lit(0)).alias("m")).first().m
-    log_all = float(np.log10(own + rest + big.agg(F.coalesce(F.sum("e_mass"), F.lit(0)).alias("m")).first().m + int(stat.train) + 1))
-
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(stat.bytes) // p.block_bytes), 1)
-    blocks = max(1, min(blocks, -(-int(stat.bytes) // (p.block_bytes // 2)) or 1))
-    dealt = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, set[bytes]] = {}
-
-        def flush():
-            for k, words in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), k)), pa.array(list(words), pa.binary())], names=["block", "word"])
-            seen.clear()
 
-        for b in slices(batches):
-            for k, x in zip(b.column(3).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen.setdefault(k, set()).update(tokens(x))
-            if sum(map(len, seen.values())) > 1_000_000:
-                yield from flush()
-        yield from flush()
-
-    named = dealt.select("doc_id", "text", "held_out", "block").mapInArrow(distinct, "block long, word binary")
-    # an ending has few bytes, so their number is bounded whatever the corpus
-    known = named.join(vocabulary, "word", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("e", ending).join(F.broadcast(big), "e", "left")
-    alone, common = F.xxhash64(F.lit("word"), "word"), F.xxhash64(F.lit("ending"), "e")
-    known = known.select(
-        "block", "word", "n",
-        F.when(frequent, alone).when(F.col("e_mass").isNotNull(), common).otherwise(F.lit(OTHER)).cast("long").alias("symbol"),
-        F.when(frequent, F.col("n") + 2).otherwise(F.coalesce("e_mass", F.lit(int(rest)))).cast("double").alias("mass"),
-    )
-    end_count = int(stat.train)
-    coded_schema = "block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, ids array<int>, names array<long>, roots array<double>"
-    arrow = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("within", pa.float64()), ("ids", pa.list_(pa.int32())), ("names", pa.list_(pa.int64())), ("roots", pa.list_(pa.float64()))])
-
-    def encode(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Documents with symbols as places in the block's list, and a row with that list."""
-        if not left.num_rows:
-            return arrow.empty_table()
-        # a word may come twice: a task that holds several blocks sends its words in parts
-        index = {w: i for i, w in enumerate(right.column("word").to_pylist())}
-        count, symbol, mass = (right.column(c).to_numpy() for c in ("n", "symbol", "mass"))
-        names, at, kind = np.unique(np.concatenate([symbol, [END]]), return_index=True, return_inverse=True)
-        roots = np.log10(np.concatenate([mass, [end_count + 1]]))[at] - log_all
-        base = np.log10(count + 1.0)
-        within, end_base, floor = base - np.log10(mass), np.log10(end_count + 1), np.log10(n + types + 1)
-        kind = kind.astype(np.int32)
-        size, sure, low, inner, ids = [], [], [], [], []
-        for x in left.column("text"):
-            i = np.array([index[w] for w in tokens(x.as_py())], dtype=np.int64)
-            size.append(len(i) + 1)
-            sure.append(int((count[i] > 0).sum()) + int(end_count > 0))
-            low.append(float(base[i].sum() + end_base - (len(i) + 1) * floor))
-            inner.append(float(within[i].sum()))
-            ids.append(np.append(kind[i], kind[-1]))
-        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        k = left.num_rows
-        block = left.column("block").combine_chunks()
-        docs = pa.Table.from_arrays([block, left.column("doc_id"), left.column("held_out"), pa.array(size, pa.int64()), pa.array(sure, pa.int64()), pa.array(low), pa.array(inner), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.list_(pa.float64()))], schema=arrow)
-        return pa.concat_tables([docs, pa.Table.from_pylist([{"block": block[0].as_py(), "names": names.tolist(), "roots": roots.tolist()}], schema=arrow)])
-
-    coded = materialise(dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(encode, coded_schema), "coded")
-
-    pair_schema = "block long, context long, pair long, n long, up double"
-
-    def pairs_of(level: int):
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            """Distinct pairs of a counted context and the next symbol: training count, and probability in the shorter context."""
-            kept: list[np.ndarray] = []
-            sums = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-
-            def merge(parts):
-                key, pair, m, up = map(np.concatenate, zip(*parts, strict=True))
-                pair, at, of = np.unique(pair, return_index=True, return_inverse=True)
-                return key[at], pair, np.bincount(of, m, len(pair)).astype(np.int64), up[at]
-
-            if left.num_rows:
-                levels = _levels(right, level - 1)
-                for part, symbol, root, first in _documents(left):
-                    logp, key, on = descend(symbol, root, first, levels)
-                    learned = ~np.repeat(part.column("held_out").to_numpy(), part.column("n_tokens").to_numpy())
-                    kept.append((key[on], mix(key, symbol)[on], learned[on].astype(np.int64), np.power(10.0, logp[on])))
-                    if len(kept) > 16:
-                        sums = merge([sums, *kept])
-                        kept.clear()
-                sums = merge([sums, *kept])
-            block = left.column("block")[0].as_py() if left.num_rows else 0
-            return pa.table({"block": pa.array(np.full(len(sums[0]), block)), "context": pa.array(sums[0]), "pair": pa.array(sums[1]), "n": pa.array(sums[2]), "up": pa.array(sums[3])})
-
-        return run
-
-    many = min(p.context_count, p.context_share * max(n, 1))
-    state = spark.createDataFrame([], "block long, level int, pair long, logp double, often boolean")
-    pull = F.lit(p.pull)
-    for level in range(1, p.depth + 1):
-        pairs = materialise(coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(pairs_of(level), pair_schema), "pairs")
-        sums = pairs.groupBy("context", "pair").agg(F.sum("n").alias("n"), F.max("up").alias("up"))
-        # as in SuffixTree.grow: of each occurrence against a distribution from the others
-        gain = F.sum(F.col("n") * F.log((F.greatest(F.col("n") - 1, F.lit(0)) + pull * F.col("up")) / F.col("up"))) - F.sum("n") * F.log(F.sum("n") - 1 + pull)
-        grown = sums.groupBy("context").agg(F.sum("n").alias("total"), gain.alias("gain")).where(F.col("gain") >= p.divergence)
-        value = F.log10((F.col("n") + pull * F.col("up")) / (F.col("total") + pull))
-        scored = sums.join(grown.select("context", "total"), "context", "left").select("pair", value.alias("logp"), (F.col("n") >= many).alias("often"))
-        back = pairs.select("block", "pair").join(scored.where("often or logp is not null"), "pair")
-        state = state.unionByName(materialise(back.select("block", F.lit(level).alias("level"), "pair", "logp", "often"), "state"))
+    parts = parts_for(int(stat.words), p, usual)
+    counts = materialise(word_counts(blocks, parts, least), "word-counts")
+    ends = materialise(ending_counts(counts), "endings")
+    # an ending has few bytes, so the number of frequent ones is bounded whatever the corpus
+    big = ends.where(F.col("n") >= least).orderBy("e").toArrow()
+    low = ends.where(F.col("n") < least).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    rare = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first()
+    types = int(counts.agg(F.coalesce(F.sum("types"), F.lit(0)).alias("t")).first().t)
+    mass = (big.column("n").to_numpy() + big.column("v").to_numpy() + 1).astype(np.float64)
+    rest = float(low.n + low.v + 1)
+    # tokens and words, and one for words not seen, of each symbol
+    own = int(stat.learned_tokens) - int(rare.n) + 2 * (types - int(rare.v))
+    total = own + rest + float(mass.sum()) + documents + 1
+    root = Root(big.column("e").to_numpy().astype(np.uint32), mass, rest, total, documents, n, types + int(documents > 0), least)
+    coded = materialise(encode(blocks, counts, parts, root), "coded")
+    discard(blocks, counts, ends)
+
+    parts = parts_for(int(stat.tokens), p, usual)
+    state = spark.createDataFrame([], _ANSWER)
+    asked = _arrow(_ASKED)
+
+    def asking(level: int):
+        def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+            rows = walk(left.to_pylist()[0], _answers(right, level), parts, p)[1] if left.num_rows else []
+            return pa.Table.from_batches([_row(r, asked) for r in rows], schema=asked)
+
+        return ask
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                yield from (_row(r, asked) for r in walk(row, [], parts, p)[1])
+
+    for level in range(p.depth):
+        rows = coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(asking(level), _ASKED) if level else coded.mapInArrow(first, _ASKED)
+        state = state.unionByName(materialise(exchange(rows, parts, lambda t, level=level: judge(t, level, p), _ANSWER), "answers"))
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    out = _arrow(schema)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return out.empty_table()
-        levels, parts = _levels(right, p.depth), []
-        for part, symbol, root, first in _documents(left):
-            total = np.add.reduceat(descend(symbol, root, first, levels)[0], np.unique(first)) + part.column("within").to_numpy()
-            parts.append(pa.Table.from_arrays([*(part.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")), pa.array(np.full(len(total), n)), part.column("base_score"), pa.array(total)], schema=out))
-        return pa.concat_tables(parts)
+        row = left.to_pylist()[0]
+        logp = walk(row, _answers(right, p.depth), parts, p)[0]
+        size = np.array(row["size"], dtype=np.int64)
+        sums = np.add.reduceat(logp, np.cumsum(size) - size) + np.array(row["within"])
+        cols = [row["doc_id"], row["held"], size, row["known"], np.full(len(size), n), row["base"], sums]
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(cols, out, strict=True)], schema=out)
 
     return coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(score, schema)

@@ -1,9 +1,11 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from siftloom.llm import suffixlm as L
 
 
@@ -13,91 +15,140 @@ def corpus(n, seed):
     return [(i, " ".join(r.choice(["The", "of", "and"]) if r.random() < 0.4 else "".join(r.choice(syl) for _ in range(r.randint(1, 4))) for _ in range(r.randint(5, 120)))) for i in range(n)]
 
 
+def held(i):
+    return i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+
+
+class Tree:
+    """The model by dictionaries."""
+
+    def __init__(self, rows, p):
+        self.p = p
+        learn = [L.tokens(t) for i, t in rows if not held(i)]
+        self.c = Counter(w for ws in learn for w in ws)
+        self.n = sum(self.c.values()) + len(learn)
+        self.least = min(p.symbol_count, p.symbol_share * max(self.n, 1))
+        e = Counter()
+        for w, m in self.c.items():
+            if m < self.least:
+                e[w[-p.ending :]] += m
+        self.big = {x for x, m in e.items() if m >= self.least}
+        self.mass = Counter({"other": 1, "end": len(learn) + 1})
+        for x in self.big:
+            self.mass["e", x] += 1
+        for w, m in self.c.items():
+            s = self.symbol(w)
+            self.mass[s] += m + 1 + (s[0] == "w")
+        total = sum(self.mass.values())
+        self.root = {s: m / total for s, m in self.mass.items()}
+        self.levels = []
+        seqs = [[*map(self.symbol, ws), "end"] for ws in learn]
+        wanted = None
+        for d in range(1, p.depth + 1):
+            pairs = defaultdict(Counter)
+            for s in seqs:
+                for k, x in enumerate(s):
+                    ctx = self.context(s, k, d)
+                    if ctx is not None and (wanted is None or ctx in wanted):
+                        pairs[ctx][x] += 1
+            kept = {}
+            for ctx, xs in pairs.items():
+                t = sum(xs.values())
+                up = {x: self.prob(ctx[1:], x) for x in xs}
+                gain = sum(m * math.log((m - 1 + p.pull * up[x]) / ((t - 1 + p.pull) * up[x])) for x, m in xs.items())
+                if gain >= p.divergence:
+                    kept[ctx] = (t, xs)
+            self.levels.append(kept)
+            wanted = {(*ctx, x) for ctx, xs in pairs.items() for x, m in xs.items() if m >= p.context_count}
+
+    def symbol(self, w):
+        return ("w", w) if self.c[w] >= self.least else ("e", w[-self.p.ending :]) if w[-self.p.ending :] in self.big else "other"
+
+    @staticmethod
+    def context(s, k, d):
+        return tuple(s[k - d : k]) if k >= d else ("start", *s[:k]) if k == d - 1 else None
+
+    def prob(self, ctx, x):
+        """Probability in the longest retained suffix of ``ctx``."""
+        for d in range(len(ctx), 0, -1):
+            if ctx[-d:] in self.levels[d - 1]:
+                t, xs = self.levels[d - 1][ctx[-d:]]
+                return (xs[x] + self.p.pull * self.prob(ctx[len(ctx) - d + 1 :], x)) / (t + self.p.pull)
+        return self.root[x]
+
+    def score(self, text):
+        ws = L.tokens(text)
+        s = [*map(self.symbol, ws), "end"]
+        out = sum(math.log10((self.c[w] + 1) / self.mass[self.symbol(w)]) for w in ws)
+        for k, x in enumerate(s):
+            ctx = self.context(s, k, min(self.p.depth, k + 1))
+            out += math.log10(self.prob(ctx, x))
+        return out
+
+
 def test_counts_match_and_the_tree_beats_the_base(spark, odd_texts):
-    rows = corpus(300, 3) + [(1000 + i, t) for i, t in enumerate(odd_texts)] + [(None, "no id the")]
+    rows = corpus(300, 3) + [(1000 + i, t) for i, t in enumerate(odd_texts)] + [(None, "no id the"), (7, "same id"), (7, "same id")]
     df = spark.createDataFrame([(i, t, 1.0, 3) for i, t in rows], "doc_id long, text string, score double, block int").repartition(3)
-    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter()
-    for i, t in rows:
-        if not held(i):
-            c.update([*L.tokens(t), "end"])
-    n, v = sum(c.values()), len(c)
-    out = L.score_documents(df, L.Params(block_bytes=4000, symbol_share=1e-3)).collect()
-    got = {r.doc_id: r for r in out}
-    assert len(out) == len(rows)
+    p = L.Params(block_bytes=4000, part_rows=2000)
+    tree = Tree(rows, p)
+    c, n = tree.c, tree.n
+    v = len(c) + 2
+    out = L.score_documents(df, p).collect()
+    got = {r.doc_id: r for r in out if r.doc_id != 7}
+    assert len(out) == len(rows) and sum(r.doc_id == 7 for r in out) == 3
     for i, t in rows:
-        ws = [*L.tokens(t), "end"]
+        if i == 7:
+            continue
+        ws = L.tokens(t)
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert r.score < 0
-    test = [got[i] for i, _ in rows[:300] if held(i)]
+        base = sum(math.log10((c[w] + 1) / (n + v)) for w in ws) + math.log10((sum(not held(i) for i, _ in rows) + 1) / (n + v))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(i), len(ws) + 1, sum(c[w] > 0 for w in ws) + 1, n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+    test = [got[i] for i, _ in rows[:300] if i != 7 and held(i)]
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
+@pytest.mark.parametrize("p", [L.Params(block_bytes=20_000, symbol_count=30, symbol_share=0.5, part_rows=3000), L.Params(block_bytes=2_000, symbol_count=10, symbol_share=0.5, context_count=5, depth=4, ending=2), L.Params(depth=1)])
+def test_scores_equal_those_of_a_tree_of_dictionaries(spark, p):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choice(["a c b d", "e c b f", "q", "z y"]) if r.random() < 0.9 else f"w{r.randint(0, 99)}x{r.randint(0, 9)}" for _ in range(40))) for i in range(200)]
+    rows += [(1000, "one two three four five " * 3), (1001, "one two three four five " * 3), (1002, ""), (1003, None), (1004, "a")]
+    tree = Tree(rows, p)
+    got = {x.doc_id: x.score for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert p.depth < 3 or len(tree.levels[2]) >= 2
+    for i, t in rows:
+        assert math.isclose(got[i], tree.score(t), rel_tol=1e-9), i
+
+
 def test_distributions_sum_to_one():
-    r = np.random.default_rng(1)
-    k = 9
-    seqs = [np.concatenate([r.choice(np.arange(2, k), size=60, p=np.array([8, 4, 2, 2, 1, 1, 1]) / 19), [L.END]]) for _ in range(50)]
-    for s in seqs:
-        s[1:-1:3] = s[0:-2:3]
-    flat, first = L.joined(seqs)
-    n = np.bincount(flat, minlength=k).astype(float)
-    tree = L.SuffixTree(n, np.ones(k), len(seqs), 5.0, 2.0)
-    for d in (1, 2):
-        c, m = np.unique((L.contexts(flat, first, d) << 16) | flat, return_counts=True)
-        tree.grow(c >> 16, c & 65535, m)
-    assert len(tree.levels[0][0]) > 1 and len(tree.levels[1][0]) < 64
-    for before in ([], [3], [3, 3], [4, 2], [8, 8]):
-        probs = []
-        for x in range(1, k):
-            f = np.array([*before, x])
-            probs.append(10 ** tree.log_symbols(f, np.zeros(len(f), dtype=int))[-1])
-        assert math.isclose(sum(probs), 1.0, rel_tol=1e-6)
+    rows = [(i, f"{t} to be or not {t}") for i, t in corpus(60, 4)]
+    tree = Tree(rows, L.Params(symbol_count=20))
+    assert all(tree.levels)
+    for ctx in [(), *list(tree.levels[0])[:5], *list(tree.levels[1])[:20], *list(tree.levels[2])[:20]]:
+        assert math.isclose(sum(tree.prob(ctx, x) for x in tree.root), 1.0, rel_tol=1e-9)
+
+
+def test_a_passage_that_occurs_twice_is_remembered(spark):
+    """Least counts are absolute, so two occurrences count in a corpus of any size."""
+    r = random.Random(2)
+    text = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(3)) for _ in range(60))
+    ids = [i for i in range(700) if not held(i)]
+    rows = [(i, text()) for i in ids]
+    rows[11] = (ids[11], rows[10][1])
+    got = {x.doc_id: (x.score - x.base_score) / x.n_tokens for x in L.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), L.Params(block_bytes=9000)).collect()}
+    others = [v for i, v in got.items() if i not in (ids[10], ids[11])]
+    assert min(got[ids[10]], got[ids[11]]) > max(others)
 
 
 def test_empty_and_no_training_rows(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert L.score_documents(df.limit(0)).count() == 0
-    from pyspark.sql import functions as F
-
     r = L.score_documents(df, hold=F.lit(True)).first()
     assert r.train_tokens == 0 and r.n_known == 0 and r.n_tokens == 3 and r.score < 0
+    with pytest.raises(ValueError):
+        L.Params(context_count=1)
 
 
-def test_the_tree_grows_and_equals_the_tree_of_one_process(spark):
-    """Least counts are absolute: words and contexts of 1e-5 of the tokens count once they occur often enough."""
-    r = random.Random(9)
-    rows = [(i, " ".join(r.choice(["a c b d", "e c b f", "q", "z y"]) if r.random() < 0.9 else f"w{r.randint(0, 99)}x{r.randint(0, 9)}" for _ in range(80))) for i in range(400)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    # shares of one half would leave neither symbols nor contexts
-    p = L.Params(block_bytes=20_000, symbol_share=0.5, context_share=0.5, symbol_count=30, context_count=30)
-    got = {x.doc_id: x.score for x in L.score_documents(df, p).collect()}
-    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
-    c = Counter(w for i, t in rows if not held(i) for w in L.tokens(t))
-    e = Counter()
-    for w, m in c.items():
-        if m < 30:
-            e[w[-3:]] += m
-    symbol = lambda w: ("w", w) if c[w] >= 30 else ("e", w[-3:]) if e[w[-3:]] >= 30 else "other"
-    ids = {s: 3 + k for k, s in enumerate(sorted({symbol(w) for _, t in rows for w in L.tokens(t)} - {"other"}))} | {"other": L.OTHER}
-    n, v = np.zeros(2 + len(ids)), np.zeros(2 + len(ids))
-    for w, m in c.items():
-        n[ids[symbol(w)]] += m
-        v[ids[symbol(w)]] += 1
-    seq = {i: np.array([*(ids[symbol(w)] for w in L.tokens(t)), L.END]) for i, t in rows}
-    learn = [i for i, _ in rows if not held(i)]
-    tree = L.SuffixTree(n, v, len(learn), p.pull, p.divergence)
-    flat, first = L.joined([seq[i] for i in learn])
-    wanted = None
-    for d in (1, 2, 3):
-        k = L.contexts(flat, first, d)
-        on = np.ones(len(k), bool) if wanted is None else np.isin(k, wanted)
-        pair, m = np.unique((k[on] << 16) | flat[on], return_counts=True)
-        tree.grow(pair >> 16, pair & 65535, m)
-        wanted = pair[(m >= 30) & (pair & 65535 != L.END)]
-    assert len(tree.levels[2][0]) >= 2
-    for i, t in rows:
-        within = sum(math.log10((c[w] + 1) / tree.mass[ids[symbol(w)]]) for w in L.tokens(t))
-        want = tree.log_symbols(seq[i], np.zeros(len(seq[i]), int)).sum() + within
-        assert math.isclose(got[i], want, rel_tol=1e-9), i
+def test_packed_arrays():
+    a = np.array([0, 1, 255, 256, 1 << 40, (1 << 48) - 1], dtype=np.uint64)
+    assert (L.unpack(L.pack(a, np.uint64, 6), np.uint64, 6) == a).all() and len(L.unpack(L.pack(a[:0], np.uint64), np.uint64)) == 0
