@@ -166,3 +166,24 @@ def round0(x: Column) -> Column:
 
 def clamp(x: Column, lo: float = 0, hi: float = 100) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+
+
+def bounded(name: str, value: int, least: int, most: int) -> int:
+    """``value`` if it lies in its range, else an error."""
+    if not isinstance(value, int) or isinstance(value, bool) or not least <= value <= most:
+        raise ValueError(f"{name} must be an integer from {least} to {most}, not {value!r}")
+    return value
+
+
+def length_quality(c: Column) -> Column:
+    """Quality of text without markup, by its length: 0 to 100, null for null."""
+    return F.when(c.isNotNull(), F.least(F.lit(100), F.floor(F.length(c) / 120 + 0.5))).cast("int")
+
+
+#: Keys of details that never reach a log.
+BLOCKED_KEYS = ["text", "html", "content", "token", "authorization", "body"]
+
+
+def redacted(details: Column) -> Column:
+    """A map of details without its blocked keys (in any case)."""
+    return F.map_filter(details, lambda k, v: ~F.lower(k).isin(*BLOCKED_KEYS))

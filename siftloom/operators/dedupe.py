@@ -8,11 +8,12 @@ rounds of joins, however large a group is.
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -29,10 +30,15 @@ def url_key(c: Column) -> Column:
 
 
 def keep_first(df: DataFrame, key: Column | list[Column], order: list) -> DataFrame:
-    """The first row of each key by an explicit order."""
+    """The first row of each key by an explicit (ascending) order; null keys are one key.
+
+    Every task keeps its own first rows before the shuffle, so a key with very
+    many rows comes to its group as one row a task.
+    """
     keys = key if isinstance(key, list) else [key]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+    by = F.struct(*[F.col(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)])
+    first = df.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(F.struct(*df.columns), by).alias("_row"))
+    return first.select("_row.*")
 
 
 def research_key(canonical: Column, content_hash: Column, url: Column) -> Column:
@@ -44,10 +50,28 @@ def lead_key(website: Column, name: Column, location: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.concat_ws("|", F.coalesce(website, none), name, F.coalesce(location, none)), r"\s+", " ")))
 
 
+_OWN: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    sc = spark.sparkContext
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.applicationId not in _OWN:
+        path = tempfile.mkdtemp(prefix="siftloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _OWN[sc.applicationId] = "file://" + path
+    return _OWN[sc.applicationId]
+
+
 def checkpoint_table(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write to the folder in ``spark.checkpoint.dir`` (a temporary one where unset) and read back."""
+    """Cut lineage: write to the folder in ``spark.checkpoint.dir`` and read back.
+
+    Where that is unset, as in tests, one machine's temporary folder serves; with
+    executors on other machines that is an error.
+    """
     spark: SparkSession = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + os.path.join(tempfile.gettempdir(), "siftloom-" + spark.sparkContext.applicationId)
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder(spark)
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

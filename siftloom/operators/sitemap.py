@@ -5,6 +5,8 @@ Addresses are found by pattern, which also reads documents that are cut off.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,9 @@ def expand(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5, max_sitema
             nxt = nxt.where(urls.host(F.col("url")) == urls.host(F.col("root")))
         nxt = nxt.groupBy("root", "url").agg(F.min(F.struct("order", "pos")).alias("o")).join(found.select("root", "url"), ["root", "url"], "left_anti")
         w = Window.partitionBy("root").orderBy("o")
+        # later levels can't get in once a tree is full
+        full = found.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_sitemaps).select("root")
+        nxt = nxt.join(full, "root", "left_anti")
         level = checkpoint_table(nxt.select("root", "url", F.lit(depth).alias("depth"), (F.lit(depth) * F.lit(1 << 40) + F.row_number().over(w)).alias("order")), "sitemaps")
         if level.isEmpty():
             break
@@ -77,6 +82,20 @@ def expand(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5, max_sitema
     return found.withColumn("n", n).where(F.col("n") <= max_sitemaps).select("root", "url", "depth", (F.col("n") - 1).alias("order"))
 
 
+#: Words of a query, anywhere in it, and the type of sitemap targets that they ask for; the first that fits.
+QUERY_TYPES = [
+    ("docs", "api|docs|guide|install|reference|manual|how to|tutorial|release notes|release|changelog|change log"),
+    ("policy", "privacy|policy|terms|legal|impressum|gdpr|cookie"),
+    ("blog", "announcement|news|blog"),
+    ("product", "price|pricing|feature|product|plan|sku|offer"),
+]
+
+
+def type_of_query(query: str) -> str | None:
+    """The type of sitemap targets that a query asks for."""
+    return next((kind for kind, words in QUERY_TYPES if re.search(words, query.lower())), None)
+
+
 def merge_entries(found: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """One row per address with the first known value of each field, and its inferred type."""
     o = F.struct(*order)

@@ -310,3 +310,7 @@ SQL["lead_groups"] = f"""WITH {TITLED}, w AS (SELECT page_id, url, string_split(
 SQL["sitemap_expand"] = """WITH RECURSIVE n AS (SELECT page_id AS k, 'https://h.example/' || page_id || '.xml' AS url FROM pages),
  walk AS (SELECT k, url, 0 AS depth FROM n WHERE k = 0 UNION ALL SELECT c.k, c.url, w.depth + 1 FROM walk w JOIN n c ON c.k IN (2*w.k+1, 2*w.k+2) WHERE w.depth < 5)
  SELECT 'https://h.example/0.xml' AS root, url, depth::bigint AS depth FROM walk"""
+
+SQL["length_quality"] = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(least(100, floor(length(text) / 120 + 0.5)) AS BIGINT) END AS length_quality FROM documents"
+
+SQL["redacted_details"] = "SELECT doc_id, 'lang,source' AS keys, source FROM documents"

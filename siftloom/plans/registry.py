@@ -436,6 +436,12 @@ def crawl_site(spark, d):
     return c.select("crawl_id", "order", "url", "depth", "is_duplicate", "matched_on", "content_quality_score")
 
 
+@query
+def crawl_counters(spark, d):
+    c = pipelines.crawl_counters(table(spark, d, "pages"), edges(spark, d), seeds(spark, d), 2, 8)
+    return c.withColumn("max_depth_reached", F.col("max_depth_reached").cast("long"))
+
+
 @query
 def link_importance(spark, d):
     p = table(spark, d, "pages")
@@ -493,9 +499,27 @@ def deep_research(spark, d):
     return pipelines.deep_research(table(spark, d, "pages"), QUERY)
 
 
+@query
+def deepened_sources(spark, d):
+    out = pipelines.deep_sources(table(spark, d, "pages"), QUERY, 8, sitemaps(spark, d).select("sitemap", "xml"))
+    return out.select("source_id", "url", "source_type", "trust_score", "relevance_score", "extracted_via")
+
+
+@query
+def length_quality(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.length_quality(F.col("text")).cast("long").alias("length_quality"))
+
+
+@query
+def redacted_details(spark, d):
+    t = table(spark, d, "documents")
+    kept = text.redacted(F.create_map(F.lit("Text"), "text", F.lit("source"), "source", F.lit("lang"), "lang", F.lit("TOKEN"), F.lit("x")))
+    return t.select("doc_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("keys"), kept["source"].alias("source"))
+
+
 @query
 def discover_site(spark, d):
-    return pipelines.discover_site(table(spark, d, "pages"), 10)["important"]
+    return pipelines.discover_site(table(spark, d, "pages"), edges(spark, d), seeds(spark, d), 10, 12)["important"]
 
 
 @query

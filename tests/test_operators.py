@@ -1,5 +1,5 @@
 import random
-
+import pytest
 from pyspark.sql import functions as F
 from siftloom.operators import chunk, claims, contacts, crawl, dedupe, search, sitemap
 from siftloom.operators.extract import extract_page
@@ -239,3 +239,121 @@ def test_claim_queries_use_every_sentence_and_whole_texts(spark, tmp_path):
     assert {x[:2] for x in run("claim_signature_all")} == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)}
     assert {x[:2] for x in run("contradiction_notes_all")} == {(1, 0), (2, 0)}
     assert not any(x[2] == "content_hash" for x in run("dedupe_greedy_whole"))
+
+
+def _walk(pages, edges, start, max_depth, max_pages):
+    """A queue of addresses, as a crawler of one site keeps it."""
+    by, queue, seen = {p["url"]: p for p in pages}, [(start, 0)], {start}
+    kept, visits, urls_, canon, hashes = 0, [], set(), set(), set()
+    while queue and kept < max_pages:
+        url, depth = queue.pop(0)
+        p = by.get(url)
+        if p is None:
+            visits.append((url, depth, "missing"))
+            continue
+        c = p["canonical_url"]
+        if url in urls_ or (c and c in canon) or p["content_hash"] in hashes:
+            visits.append((url, depth, "duplicate"))
+            continue
+        urls_.add(url)
+        hashes.add(p["content_hash"])
+        if c:
+            canon.add(c)
+        kept += 1
+        visits.append((url, depth, "kept"))
+        if depth < max_depth:
+            for to in edges.get(url, []):
+                if to not in seen:
+                    seen.add(to)
+                    queue.append((to, depth + 1))
+    return visits
+
+
+def test_site_walks_equal_a_queue(spark):
+    import random
+
+    r = random.Random(4)
+    url = "https://a.de/p{}".format
+    pages = [{"url": url(i), "canonical_url": url(r.randint(0, 30)) if r.random() < 0.2 else None, "content_hash": f"h{r.randint(0, 25)}"} for i in range(40) if i % 7]
+    links = {url(i): [url(r.randint(0, 39)) for _ in range(4)] for i in range(40)}
+    df = spark.createDataFrame([(p["url"], p["canonical_url"], p["content_hash"]) for p in pages], "url string, canonical_url string, content_hash string")
+    e = spark.createDataFrame([(a, b, k) for a, bs in links.items() for k, b in enumerate(bs)], "src_url string, dst_url string, pos int")
+    seeds = spark.createDataFrame([(f"c{i}", url(i)) for i in (1, 2, 7)], "crawl_id string, url string")
+    v = crawl.site_walk(lambda w: df.join(w, "url", "left_semi"), e, seeds, lambda x: dedupe.dedupe_pages(x, "canonical_and_hash", ["crawl_id"]), 3, 6)
+    got = {}
+    for x in v.orderBy("crawl_id", "seq").collect():
+        got.setdefault(x.crawl_id, []).append((x.url, x.depth, x.status))
+    want = {f"c{i}": _walk(pages, links, url(i), 3, 6) for i in (1, 2, 7)}
+    assert got == want and any(s == "missing" for x in want.values() for *_, s in x) and any(s == "duplicate" for x in want.values() for *_, s in x)
+    n = {x.crawl_id: x for x in crawl.walk_counters(v).collect()}
+    for c, w in want.items():
+        kinds = [s for *_, s in w]
+        assert (n[c].pages_fetched, n[c].pages_visited, n[c].duplicates_skipped, n[c].errors, n[c].max_depth_reached) == (kinds.count("kept"), len(w), kinds.count("duplicate"), kinds.count("missing"), max(d for _, d, _ in w))
+
+
+def test_importance_of_links_in_a_walk_stays_within_its_site(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"s{r.randint(0, 2)}", i // 6, i % 3, i, f"https://x.de/{r.randint(0, 4)}", r.choice(["nav", "nav", "rss", "content", "sitemap"]), r.randint(1, 50)) for i in range(90)]
+    want = {}
+    for site, _, _, _, u, kind, size in sorted(rows, key=lambda x: x[1:4]):
+        m = want.setdefault(site, {})
+        if kind == "nav":
+            m[u] = [m[u][0], m[u][1] + 40] if u in m else ["nav", 120]
+        elif kind in ("rss", "sitemap"):
+            m[u] = [kind, {"rss": 180, "sitemap": 200}[kind]]
+        elif u not in m:
+            m[u] = ["content", 100 + size]
+    df = spark.createDataFrame(rows, "site string, o int, step int, pos int, url string, kind string, size int")
+    got = {}
+    for x in crawl.walk_importance(df, ["site"], ["o", "step", "pos"]).collect():
+        got.setdefault(x.site, {})[x.url] = [x.reason, x.score]
+    assert got == want
+
+
+def test_discovery_reads_what_its_walk_reaches(spark):
+    page = "<html><head><title>{}</title></head><body><nav><a href='/n'>n</a></nav><main><p>{}</p></main></body></html>"
+    rows = [(i, u, page.format(u, "word " * (i + 1))) for i, u in enumerate(["https://a.de/", "https://a.de/n", "https://a.de/far", "https://b.de/", "https://a.de/no"])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    e = spark.createDataFrame([("https://a.de/", "https://a.de/n", 0), ("https://a.de/", "https://a.de/no", 1), ("https://a.de/n", "https://a.de/far", 0)], "src_url string, dst_url string, pos int")
+    seeds = spark.createDataFrame([("a", "https://a.de/"), ("b", "https://b.de/")], "crawl_id string, url string")
+    robots = spark.createDataFrame([("https://a.de", "User-agent: *\nDisallow: /no\nSitemap: /map.xml")], "origin string, body string")
+    out = pipelines.discover_site(pages, e, seeds, 10, 2, crawl.robots_rules(robots), robots)
+    assert {r.crawl_id: r.pages_scanned for r in out["signals"].collect()} == {"a": 2, "b": 1}
+    got = {(r.crawl_id, r.url): (r.reason, r.score) for r in out["important"].collect()}
+    assert got["a", "https://a.de/n"] == ("nav", 160) and got["b", "https://b.de/n"] == ("nav", 120) and got["a", "https://a.de/map.xml"] == ("sitemap", 200)
+    assert ("a", "https://a.de/far") not in got and ("a", "https://a.de/no") not in got
+
+
+def test_pages_are_passed_over_unparsed_only_if_they_hold_no_token(spark):
+    html = ["<p>wid<b>get</b> x</p>", "<p>w&#105;dget</p>", "<p>other &amp; more</p>", "<title>WIDGET</title>", None, "<p>a < b widget</p>", "<p title='widget'>x</p>"]
+    pages = spark.createDataFrame(list(enumerate(html)), "page_id long, html string")
+    assert {r.page_id for r in pipelines.may_match(pages, "widget").collect()} == {0, 1, 3, 5, 6}
+
+
+def test_hits_choose_sources_and_override_scores(spark):
+    body = "<html><head><title>T{}</title></head><body><main><p>{}</p></main></body></html>"
+    pages = spark.createDataFrame([(i, f"https://a.de/{i}", body.format(i, f"words {i} " * 30)) for i in range(3)], "page_id long, url string, html string")
+    hits = spark.createDataFrame([("https://a.de/1", 77, None), ("https://a.de/2", None, 5)], "url string, relevance_score int, content_quality_score int")
+    got = {r.url: r for r in pipelines.research_sources(pages, "nothing shared", hits=hits).collect()}
+    assert set(got) == {"https://a.de/1", "https://a.de/2"} and got["https://a.de/1"].relevance_score == 77 and got["https://a.de/2"].content_quality_score == 5
+
+
+def test_bounds_and_small_functions(spark):
+    from siftloom.functions import text
+
+    p = spark.createDataFrame([(1, "https://a.de/", "<p>x</p>")], "page_id long, url string, html string")
+    for call in (lambda: pipelines.research_sources(p, "x", 21), lambda: pipelines.research_sources(p, "x", 0), lambda: pipelines.find_leads(p, p, "x", True)):
+        with pytest.raises(ValueError):
+            call()
+    assert [sitemap.type_of_query(q) for q in ("Install GUIDE", "privacy", "company news", "Pricing plan", "weather")] == ["docs", "policy", "blog", "product", None]
+    df = spark.createDataFrame([("x" * 181, {"Body": "b", "url": "u"}), ("", {}), (None, None)], "t string, d map<string,string>")
+    rows = df.select(text.length_quality(F.col("t")).alias("q"), text.redacted(F.col("d")).alias("d")).collect()
+    assert [r.q for r in rows] == [2, 0, None] and rows[0].d == {"url": "u"} and rows[2].d is None
+
+
+def test_a_key_of_many_rows_keeps_its_first(spark):
+    df = spark.range(20_000).select(F.col("id"), F.lit("same").alias("k"), F.lit(None).cast("string").alias("x"))
+    assert [r.id for r in dedupe.keep_first(df, F.col("k"), ["id"]).collect()] == [0]
+    assert [r.id for r in dedupe.keep_first(df, [F.col("k"), F.col("x")], ["x", "id"]).collect()] == [0]
