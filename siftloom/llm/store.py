@@ -2,8 +2,9 @@
 
 Tables that cut lineage and files that tasks exchange live below the folder
 named by ``spark.checkpoint.dir``, the only one that the driver and all
-executors of a cluster share.  Where the setting is absent (unit tests on one
-machine) a folder is made once per session.
+executors of a cluster share.  Where the setting is absent a folder is made once
+per session if the master is local (unit tests on one machine); else that is an
+error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = sc.applicationId
     if app not in _OWN:
         path = tempfile.mkdtemp(prefix="siftloom-")
