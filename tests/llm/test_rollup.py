@@ -45,3 +45,29 @@ def test_counts(spark, odd_texts):
     w, c = encoder(P.path("word_bpe_49k.json"), 2), codec(*v["b"][1:])
     assert got == {i: [len(w.encode(t or "")) // 2, len(c.raw(t or ""))] for i, t in enumerate(odd_texts)}
     assert Counter(map(len, got.values())) == {2: len(odd_texts)}
+
+
+def test_totals_of_the_query_equal_a_plain_recount(spark):
+    """One row of each text, its own counts under both tokenizers, whatever the batches did to get there."""
+    from collections import Counter
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    import tokenizers
+    from siftloom.llm import queries
+    from siftloom.llm.bpe import codec
+
+    rows = sorted(pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist(), key=lambda r: r["doc_id"])
+    ranks = codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    word = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    seen, want, docs = set(), Counter(), Counter()
+    for r in rows:
+        if r["text"] is not None and r["text"] in seen:
+            continue
+        seen.add(r["text"])
+        t = r["text"] or ""
+        for version, n in (("byte-bpe-multi-1", len(ranks.encode(t))), ("word-bpe-1", len(word.encode(t, add_special_tokens=False).ids))):
+            want[r["source"], r["lang"], version] += n
+            docs[r["source"], r["lang"], version] += 1
+    got = {(r.source, r.lang, r.version): (r.tokens, r.documents) for r in queries.op10_token_rollup(spark, "/root/testdata/sf0.001").collect() if r.level == "source,lang,version"}
+    assert got == {k: (n, docs[k]) for k, n in want.items()}
