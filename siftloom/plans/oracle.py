@@ -85,7 +85,7 @@ def normal(drop=()) -> str:
 
 
 TITLED = f"""titled AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, url,
- substr({sq("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')")}, 1, 500) AS snippet, (page_id % 12)::int AS position FROM pages)"""
+ {sq("regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', ' ', 'g')")} AS body, substr(body, 1, 500) AS snippet, (page_id % 12)::int AS position FROM pages)"""
 
 NEED = T.query_tokens(QUERY)
 
@@ -221,12 +221,19 @@ NAMES = f"list_filter(string_split({HOST}, '.'), lambda x: length(x) >= 3)"
 HAY = f"({HOST} || ' ' || lower({PATH}))"
 HEUR = f"(len(list_filter({NAMES}, lambda t: contains({HAY}, t)))*6 + len(list_filter(['org','com'], lambda t: contains({HAY}, t)))*3 + (CASE WHEN {SCHEME}='https' THEN 2 ELSE 0 END) + (CASE WHEN {DEPTH}<=1 THEN 6 ELSE 0 END) + (CASE WHEN regexp_matches({HAY}, '{U.DIRECTORIES}') THEN -40 ELSE 0 END))"
 
+#: Documents of a source one after the other; a row is dropped if a kept one has its canonical address or its text.
+GREEDY = """WITH RECURSIVE n AS (SELECT doc_id, source, 'c:' || (length(text) % 40) AS c, 'h:' || sha256(text) AS h, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+ walk AS (SELECT source, i, doc_id, false AS dup, NULL::varchar AS how, [c, h] AS kept FROM n WHERE i = 1
+ UNION ALL SELECT n.source, n.i, n.doc_id, list_has_any(w.kept, [n.c, n.h]), CASE WHEN list_contains(w.kept, n.c) THEN 'canonical' WHEN list_contains(w.kept, n.h) THEN 'content_hash' END,
+ CASE WHEN list_has_any(w.kept, [n.c, n.h]) THEN w.kept ELSE w.kept || [n.c, n.h] END FROM walk w JOIN n ON n.source = w.source AND n.i = w.i + 1)
+ SELECT doc_id, dup AS is_duplicate, how AS matched_on FROM walk"""
+
 SQL: dict[str, str] = {
     "url_normalize": f"SELECT page_id, {normal(['utm_source', 'ref'])} AS normalized_url, array_to_string(list_filter(['utm_source','ref'], lambda n: contains({QS}, '?' || n || '=') OR contains({QS}, '&' || n || '=')), ',') AS stripped, {SCHEME} || '://' || {HOST} AS origin FROM pages",
     "url_result_key": f"SELECT page_id, {SCHEME} || '://' || regexp_replace({HOST}, '^www\\.', '') || coalesce(nullif(regexp_replace({PATH}, '/+$', ''), ''), '/') || {QS} AS result_key FROM pages",
     "url_types": f"SELECT page_id, {SEG} AS segment_type, {SUB} AS substring_type, {chain('lower(url)', U.IMPORTANT, other='content')} AS reason, regexp_matches(lower(url), '\\.pdf($|[?#])') AS is_pdf, regexp_matches(lower(url), '{U.DIRECTORIES}') AS is_directory FROM pages",
     "source_type": f"SELECT page_id, {STYPE} AS source_type FROM pages",
-    "url_structure": f"SELECT page_id, nullif(lower(regexp_extract({PATH}, '(\\.[^./]*)/*$', 1)), '') AS extension, ({STRUCT})::bigint AS structure_bonus, len({toks(f'({HOST} || {q(chr(32))} || {PATH})')}) AS n_path_tokens, length(trim(substr(html, 1, 100))) < 80 OR regexp_matches(lower(url), 'app|dashboard|interactive|viewer|spa|search|results') AS prefers_rendering FROM pages",
+    "url_structure": f"WITH {TITLED} SELECT page_id, nullif(lower(regexp_extract({PATH}, '(\\.[^./]*)/*$', 1)), '') AS extension, ({STRUCT})::bigint AS structure_bonus, len({toks(f'({HOST} || {q(chr(32))} || {PATH})')}) AS n_path_tokens, length(body) < 80 OR regexp_matches(lower(url), 'app|dashboard|interactive|viewer|spa|search|results') AS prefers_rendering FROM titled",
     "url_filter": filter_sql(),
     "same_site": f"SELECT page_id, {HOST} = 'therhe.example.org' AS same_host, ({SCHEME} || '://' || {HOST}) = 'https://therhe.example.org' AS same_origin FROM pages",
     "private_ip": f"WITH s AS (SELECT doc_id, doc_id*37%256 AS a, doc_id*11%256 AS b, doc_id%256 AS c FROM documents) SELECT doc_id, a || '.' || b || '.' || c || '.1' AS ip, {private_sql('a', 'b')} AS is_private, CASE WHEN {private_sql('a', 'b')} THEN 'private network' END AS blocked FROM s",
@@ -235,10 +242,9 @@ SQL: dict[str, str] = {
     "token_counts": f"SELECT doc_id, len({runs('text')}) AS n_tokens, len({toks('text')}) AS n_distinct, len(list_distinct({runs('text', LATIN)})) AS n_latin, floor(least(len(list_filter(regexp_split_to_array(text, '{SP}+'), lambda w: w <> '')), 1200)/12.0 + 0.5)::bigint AS word_quality FROM documents",
     "sentence_split": f"SELECT doc_id, len({sentences('text')}) AS n_sentences, md5(array_to_string({sentences('text')}, '|')) AS sentences FROM documents",
     "evidence_top4": f"WITH s AS (SELECT doc_id, unnest({sentences('text')}) AS sentence, generate_subscripts({sentences('text')}, 1) AS pos FROM documents), c AS (SELECT *, floor(len(list_intersect({lst(LNEED)}, list_distinct({runs('sentence', LATIN)})))/{float(len(LNEED))}*100.0+0.5)::bigint AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, length(sentence), pos) AS rank FROM c WHERE score > 0) SELECT doc_id, rank, score, sentence FROM r WHERE rank <= 4",
-    "claim_signature": f"WITH s AS (SELECT doc_id, {sentences('text')}[1] AS s FROM documents) SELECT doc_id, {sig('s')} AS signature FROM s WHERE s IS NOT NULL",
-    "claim_similar_pairs": f"WITH s AS (SELECT doc_id, {sentences('text')}[1] AS s FROM documents), t AS (SELECT doc_id, lower({sq('s')}) AS low, list_distinct({runs('s', LATIN)}) AS tk, {sig('s')} AS sig, array_to_string({numbers('s')}, '|') AS num FROM s WHERE s IS NOT NULL), p AS (SELECT a.doc_id AS key_a, b.doc_id AS key_b, a.low = b.low AS eq, a.sig <> '' AND a.sig = b.sig AS es, a.num <> '' AND a.num = b.num AS en, CASE WHEN len(a.tk) = 0 OR len(b.tk) = 0 THEN 0.0 ELSE len(list_intersect(a.tk, b.tk)) / (len(a.tk) + len(b.tk) - len(list_intersect(a.tk, b.tk)))::double END AS sim FROM t a JOIN t b ON a.doc_id < b.doc_id) SELECT key_a, key_b, round(sim, 6) AS similarity FROM p WHERE eq OR es OR sim >= 0.72 OR (en AND sim >= 0.45)",
+    "claim_signature": f"WITH s AS (SELECT doc_id, unnest({sentences('text')}) AS s, generate_subscripts({sentences('text')}, 1) - 1 AS pos FROM documents) SELECT doc_id, pos::bigint AS pos, {sig('s')} AS signature FROM s",
     "numbers_negation": f"SELECT doc_id, array_to_string({numbers('text')}, '|') AS numbers, {negated('text')} AS negated FROM documents",
-    "contradiction_notes": f"WITH s AS (SELECT doc_id, {sentences('text')} AS s FROM documents), t AS (SELECT doc_id, {numbers('s[1]')} AS a, {numbers('s[2]')} AS b, {negated('s[1]')} AS na, {negated('s[2]')} AS nb FROM s WHERE len(s) >= 2) SELECT doc_id, CASE WHEN len(a) > 0 AND len(b) > 0 AND array_to_string(a, '|') <> array_to_string(b, '|') THEN 'mentions ' || array_to_string(b, ', ') || ' instead of ' || array_to_string(a, ', ') WHEN na <> nb THEN 'uses opposite polarity or negation' END AS note FROM t",
+    "contradiction_notes": f"WITH s AS (SELECT doc_id, {sentences('text')} AS s FROM documents), p AS (SELECT doc_id, unnest(s[:-2]) AS x, unnest(s[2:]) AS y, generate_subscripts(s[2:], 1) - 1 AS pos FROM s WHERE len(s) >= 2), t AS (SELECT doc_id, pos, {numbers('x')} AS a, {numbers('y')} AS b, {negated('x')} AS na, {negated('y')} AS nb FROM p) SELECT doc_id, pos::bigint AS pos, CASE WHEN len(a) > 0 AND len(b) > 0 AND array_to_string(a, '|') <> array_to_string(b, '|') THEN 'mentions ' || array_to_string(b, ', ') || ' instead of ' || array_to_string(a, ', ') WHEN na <> nb THEN 'uses opposite polarity or negation' END AS note FROM t",
     "content_hash": f"SELECT doc_id, sha256(text) AS content_hash, sha256({sq('text')}) AS squeezed_hash FROM documents",
     "source_id": "SELECT page_id, 'src_' || substr(sha1(url), 1, 12) AS source_id, 'lead_' || substr(sha1(CASE WHEN page_id % 2 = 0 THEN url ELSE 'Name|Ort' END), 1, 12) AS lead_id FROM pages",
     "truncation": "SELECT doc_id, md5(substr(text, 1, 800)) AS cut, length(text) > 800 AS truncated FROM documents",
@@ -254,9 +260,10 @@ SQL: dict[str, str] = {
     "search_corpus": f"WITH {TITLED} SELECT page_id, {_P0['total']} AS quality_score FROM titled WHERE len(list_intersect({lst(NEED)}, {toks('(title || chr(32) || snippet || chr(32) || url)')})) > 0 ORDER BY quality_score DESC, url COLLATE en LIMIT 10",
     "rerank_position": f"WITH {TITLED} SELECT page_id, {_P['total']} AS quality_score, position::bigint AS position FROM titled",
     "relevance_score": f"WITH {TITLED} SELECT page_id, floor({_REL['total']} + 0.5)::bigint AS relevance FROM titled",
-    "extraction_kind": f"WITH {TITLED}, s AS (SELECT page_id, lower(title || ' ' || substr(snippet, 1, (page_id%400)::int) || ' ' || url) AS hay, length(substr(snippet, 1, (page_id%400)::int)) AS n FROM titled) SELECT page_id, CASE WHEN regexp_matches(hay, '/(login|signin|sign-in|account|search|about|help|faq)\\b') THEN 'markdown' WHEN regexp_matches(hay, 'docs|guide|manual|reference|api|tutorial|article|blog|post|chapter|learn') THEN (CASE WHEN n > 180 THEN 'chunks' ELSE 'markdown' END) WHEN n > 220 THEN 'chunks' ELSE 'markdown' END AS kind FROM s",
+    "extraction_kind": f"WITH {TITLED}, s AS (SELECT page_id, lower(title || ' ' || body || ' ' || url) AS hay, length(body) AS n FROM titled) SELECT page_id, CASE WHEN regexp_matches(hay, '/(login|signin|sign-in|account|search|about|help|faq)\\b') THEN 'markdown' WHEN regexp_matches(hay, 'docs|guide|manual|reference|api|tutorial|article|blog|post|chapter|learn') THEN (CASE WHEN n > 180 THEN 'chunks' ELSE 'markdown' END) WHEN n > 220 THEN 'chunks' ELSE 'markdown' END AS kind FROM s",
     "chunks_fixed": "WITH s AS (SELECT doc_id, text, length(text) AS n, unnest(range(0, CASE WHEN length(text)=0 THEN 0 ELSE 1 + ceil(greatest(length(text)-1200, 0)/1050.0)::bigint END)) AS i FROM documents), w AS (SELECT doc_id, i*1050 AS s, least(i*1050+1200, n) AS e, trim(substr(text, i*1050+1, 1200)) AS t, i FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS chunk_no, s AS start_char, e AS end_char, md5(t) AS chunk_md5 FROM w WHERE t <> ''",
     "dedupe_hash": "SELECT min(doc_id) AS doc_id, sha256(text) AS content_hash FROM documents GROUP BY sha256(text)",
+    "dedupe_greedy": GREEDY,
     "dedupe_canonical": f"WITH c AS (SELECT page_id, {canonical()} AS canonical FROM pages) SELECT min(page_id) AS page_id, arg_min(canonical, page_id) AS canonical FROM c GROUP BY regexp_replace(canonical, '[0-9]+$', '')",
     "dedupe_hits": f"WITH h AS (SELECT page_id, (page_id%4)::int AS variant, regexp_replace({canonical()}, '[0-9]+$', '') AS url FROM pages), k AS (SELECT *, {SCHEME} || '://' || regexp_replace({HOST}, '^www\\.', '') || coalesce(nullif(regexp_replace({PATH}, '/+$', ''), ''), '/') AS key FROM h) SELECT variant, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM k GROUP BY variant, key",
     "research_source_dedupe": "SELECT min(doc_id) AS doc_id FROM documents GROUP BY CASE WHEN doc_id%5=0 THEN 'c' || (doc_id%50) WHEN doc_id%3=0 THEN sha256(text) ELSE doc_id::varchar END",
@@ -302,7 +309,10 @@ SQL["research_sources"] = f"""WITH {QUALITY}, k AS (SELECT * FROM x WHERE len(li
 _ALL = strip("regexp_replace(html, '(?s)<!--.*?-->', '', 'g')")
 SQL["page_signals"] = f"SELECT page_id, 0::bigint AS n_feeds, regexp_matches({_ALL}, '(?i)login|sign in|anmelden|konto|account') AS login, regexp_matches({_ALL}, '(?i)search|suche') AS search, len({emails(sq(strip(BODY)))}) AS n_emails FROM pages"
 
-SQL["lead_groups"] = f"""WITH {TITLED}, w AS (SELECT page_id, url, string_split(title, ' ')[1] AS w FROM titled), n AS (SELECT *, CASE WHEN length(w) >= 3 THEN w ELSE w || ' |' END AS name FROM w)
+#: First part of a title that is no noise; " | Kontakt" follows each title and leaves a single sign.
+_FIRST = sq("string_split(regexp_replace(title || ' | Kontakt', ' +[|–:-] +', chr(1), 'g'), chr(1))[1]")
+LEAD_NAME = f"(CASE WHEN length({_FIRST}) >= 3 THEN {_FIRST} ELSE {sq("title || ' |'")} END)"
+SQL["lead_groups"] = f"""WITH {TITLED}, n AS (SELECT page_id, url, {LEAD_NAME} AS name FROM titled)
  SELECT lower(name) AS group_key, arg_min(name, page_id) AS name, count(*) AS n_hits, count(*) FILTER (regexp_matches(lower(url), '{U.DIRECTORIES}')) AS directory_hits, count(*) AS n_urls,
  string_agg(url, ' ' ORDER BY page_id) AS candidate_urls FROM n GROUP BY lower(name)"""
 

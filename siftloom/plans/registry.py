@@ -60,7 +60,7 @@ def source_type(spark, d):
 @query
 def url_structure(spark, d):
     u = F.col("url")
-    return table(spark, d, "pages").select("page_id", urls.extension(u).alias("extension"), urls.structure_bonus(u).cast("long").alias("structure_bonus"), F.size(urls.path_tokens(u)).cast("long").alias("n_path_tokens"), urls.prefers_rendering(u, F.substring("html", 1, 100)).alias("prefers_rendering"))
+    return titled(spark, d).select("page_id", urls.extension(u).alias("extension"), urls.structure_bonus(u).cast("long").alias("structure_bonus"), F.size(urls.path_tokens(u)).cast("long").alias("n_path_tokens"), urls.prefers_rendering(u, F.col("body")).alias("prefers_rendering"))
 
 
 @query
@@ -115,30 +115,19 @@ def evidence_top4(spark, d):
     return e.select("doc_id", F.col("rank").cast("long").alias("rank"), F.col("score").cast("long").alias("score"), "sentence")
 
 
-@query
-def claim_signature(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("s")).where("s is not null")
-    return s.select("doc_id", text.signature(F.col("s")).alias("signature"))
-
-
-@query
-def claim_similar_pairs(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.get(text.sentences(F.col("text")), F.lit(0)).alias("s")).where("s is not null")
-    return claims.similar_pairs(s, "doc_id", "s").select("key_a", "key_b", F.round("similarity", 6).alias("similarity"))
-
-
 def all_sentences(spark, d):
     """Every sentence of every document, keyed by document and place."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "s"))
 
 
 @query
-def claim_signature_all(spark, d):
-    return all_sentences(spark, d).select("doc_id", "pos", text.signature(F.col("s")).alias("signature"))
+def claim_signature(spark, d):
+    return all_sentences(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), text.signature(F.col("s")).alias("signature"))
 
 
 @query
-def claim_similar_pairs_all(spark, d):
+def claim_similar_pairs(spark, d):
+    """Similar sentences of all documents; too many for SQL, so a test compares them with all pairs of a small table."""
     p = claims.similar_pairs(all_sentences(spark, d).withColumn("k", F.struct("doc_id", "pos")), "k", "s")
     return p.select(F.col("key_a.doc_id").alias("doc_a"), F.col("key_a.pos").alias("pos_a"), F.col("key_b.doc_id").alias("doc_b"), F.col("key_b.pos").alias("pos_b"), F.round("similarity", 6).alias("similarity"))
 
@@ -151,17 +140,11 @@ def numbers_negation(spark, d):
 
 @query
 def contradiction_notes(spark, d):
-    s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s")).where(F.size("s") >= 2)
-    return s.select("doc_id", text.contradiction(F.col("s")[0], F.col("s")[1]).alias("note"))
-
-
-@query
-def contradiction_notes_all(spark, d):
     """Notes of all adjacent sentences; ``pos`` is the first one's."""
     s = table(spark, d, "documents").select("doc_id", text.sentences(F.col("text")).alias("s")).where(F.size("s") >= 2)
     s = s.select("doc_id", F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
     s = s.select("doc_id", F.posexplode(F.arrays_zip("a", "b")).alias("pos", "x"))
-    return s.select("doc_id", "pos", text.contradiction(F.col("x")["a"], F.col("x")["b"]).alias("note"))
+    return s.select("doc_id", F.col("pos").cast("long").alias("pos"), text.contradiction(F.col("x")["a"], F.col("x")["b"]).alias("note"))
 
 
 @query
@@ -203,6 +186,7 @@ def page_signals(spark, d):
 
 @query
 def snapshot_scan(spark, d):
+    """Bodies as a bounded reader takes them: the bound is the feature."""
     s = src.public_only(src.snapshots(src.pages(spark, d), max_bytes=3000))
     return s.select("page_id", "final_url", F.col("status").cast("long").alias("status"), F.col("bytes").cast("long").alias("bytes"), "truncated")
 
@@ -269,7 +253,7 @@ def relevance_score(spark, d):
 
 @query
 def extraction_kind(spark, d):
-    k = scoring.extraction_kind(F.col("title"), F.col("url"), F.substring("snippet", 1, (F.col("page_id") % 400).cast("int")))
+    k = scoring.extraction_kind(F.col("title"), F.col("url"), F.col("body"))
     return titled(spark, d).select("page_id", k.alias("kind"))
 
 
@@ -314,14 +298,6 @@ def research_source_dedupe(spark, d):
 
 @query
 def dedupe_greedy(spark, d):
-    """Four-mode page dedupe over documents by source: canonical keys and content hashes of short prefixes."""
-    k = F.col("doc_id")
-    t = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("http://h/"), k).alias("url"), F.concat(F.lit("http://h/c"), F.length("text") % 40).alias("canonical_url"), F.md5(F.substring("text", 1, 12)).alias("content_hash"))
-    return dedupe.dedupe_pages(t, "canonical_and_hash", ["source"], "doc_id").select("doc_id", "is_duplicate", "matched_on")
-
-
-@query
-def dedupe_greedy_whole(spark, d):
     """Four-mode page dedupe over documents by source: canonical keys and content hashes of whole texts."""
     k = F.col("doc_id")
     t = table(spark, d, "documents").select("doc_id", "source", F.concat(F.lit("http://h/"), k).alias("url"), F.concat(F.lit("http://h/c"), F.length("text") % 40).alias("canonical_url"), text.content_hash(F.col("text")).alias("content_hash"))
@@ -356,7 +332,7 @@ def contact_confidence(spark, d):
 
 @query
 def lead_groups(spark, d):
-    h = titled(spark, d).withColumn("title", F.concat(F.split("title", " ")[0], F.lit(" | Kontakt"))).withColumn("position", F.col("page_id"))
+    h = titled(spark, d).withColumn("title", F.concat("title", F.lit(" | Kontakt"))).withColumn("position", F.col("page_id"))
     g = contacts.lead_groups(h)
     return g.select("group_key", "name", F.col("n_hits").cast("long").alias("n_hits"), F.col("directory_hits").cast("long").alias("directory_hits"), F.size("candidate_urls").cast("long").alias("n_urls"), F.array_join("candidate_urls", " ").alias("candidate_urls"))
 

@@ -105,6 +105,24 @@ def test_intent_and_hits(spark):
     assert search.with_fallback(hits.limit(0), hits).count() == 3 and search.with_fallback(hits, hits).count() == 3
 
 
+def test_lead_queries(spark):
+    cases = {
+        "20 Friseure im Bereich 96515 Sonneberg": ("Friseure", "Sonneberg", "96515", None, None),
+        "Suche Bäcker in Bad Hersfeld": ("Bäcker", "Bad Hersfeld", None, None, None),
+        "Zahnarzt 10115 Berlin": ("Zahnarzt", "Berlin", "10115", None, None),
+        "Zahnarzt 10115 10117 Berlin": ("Zahnarzt Berlin", None, "10115", None, None),
+        'Impressum von "Alpha GmbH"': (None, None, None, None, "Alpha GmbH"),
+        'Frau "Anna Becker"': ('Frau "Anna Becker"', None, None, "Anna Becker", None),
+        "Ansprechpartner Max Muster": ("Ansprechpartner Max Muster", None, None, "Max Muster", None),
+        "Kanzlei Weber und Partner": (None, None, None, None, "Weber und Partner"),
+        "  ": (None, None, None, None, None),
+        "Ort Ort umkreis Ort": ("Ort Ort", "Ort", None, None, None),
+    }
+    q = spark.createDataFrame([(k,) for k in cases] + [(None,)], "q string")
+    got = {r.q: tuple(r.x)[:5] for r in q.select("q", contacts.lead_query(F.col("q")).alias("x")).collect()}
+    assert got.pop(None) == (None,) * 5 and got == cases
+
+
 def test_contacts(spark):
     html = """<title>Salon Alpha - Impressum</title><body><h1>Salon Alpha</h1><a href="mailto:Info@Salon.de">m</a><a href="tel:+49 3675 123456">t</a>
     <p>Inhaberin: Anna Becker, Musterstraße 1, 96515 Sonneberg</p><div hidden>x@hidden.de</div><p style="display:none">y@hidden.de</p>
@@ -226,7 +244,7 @@ def test_searches_find_words_beyond_the_snippet(spark):
 
 
 def test_claim_queries_use_every_sentence_and_whole_texts(spark, tmp_path):
-    """What the queries with SQL don't see: later sentences, and texts that part after their first characters."""
+    """Later sentences count, and so does the end of texts that begin alike."""
     from siftloom.plans.registry import QUERIES as Q
 
     same = "The harbour council approved seventeen separate ferry landing permits during winter meetings."
@@ -235,10 +253,10 @@ def test_claim_queries_use_every_sentence_and_whole_texts(spark, tmp_path):
     c = "An opening sentence about something wholly different, namely beekeeping in coastal villages today."
     spark.createDataFrame([(1, a, "s"), (2, b, "s"), (3, c, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: {tuple(r) for r in Q[name](spark, str(tmp_path)).collect()}
-    assert {x[:4] for x in run("claim_similar_pairs_all")} == {(1, 1, 2, 1)}
-    assert {x[:2] for x in run("claim_signature_all")} == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)}
-    assert {x[:2] for x in run("contradiction_notes_all")} == {(1, 0), (2, 0)}
-    assert not any(x[2] == "content_hash" for x in run("dedupe_greedy_whole"))
+    assert {x[:4] for x in run("claim_similar_pairs")} == {(1, 1, 2, 1)}
+    assert {x[:2] for x in run("claim_signature")} == {(1, 0), (1, 1), (2, 0), (2, 1), (3, 0)}
+    assert {x[:2] for x in run("contradiction_notes")} == {(1, 0), (2, 0)}
+    assert not any(x[2] == "content_hash" for x in run("dedupe_greedy"))
 
 
 def _walk(pages, edges, start, max_depth, max_pages):
