@@ -1,4 +1,8 @@
+import collections
+import functools
+import math
 import random
+import zlib
 
 from siftloom.llm import langid
 
@@ -79,3 +83,69 @@ def test_query_fuses_the_evidence_of_pages(spark, tmp_path):
     got = {r.page_id: r for r in out if r.page_id is not None}
     assert len(got) == len(pages) and all(r.doc_id is None for r in got.values())
     assert got[1000].language == "de" and got[1000].confidence > 0.9 and not got[1001].accepted
+
+
+def _mix(counts, prior, pull):
+    return [(c + pull * q) / (sum(counts) + pull) for c, q in zip(counts, prior, strict=True)]
+
+
+def _sums(rows, key, n):
+    out = {}
+    for r in rows:
+        if r[key] is not None:
+            c = out.setdefault(r[key], [0.0] * n)
+            for i, x in enumerate(r["q"]):
+                c[i] += x
+    return out
+
+
+def _normal(logs):
+    e = [math.exp(x - max(logs)) for x in logs]
+    return [x / sum(e) for x in e]
+
+
+def test_query_equals_posteriors_computed_row_by_row(spark):
+    """Text model, host, domain, markup and suffix, from dictionaries over the smallest tables."""
+    from siftloom.llm import queries
+
+    sf, p = "/root/testdata/sf0.001", langid.Params()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    pages = langid.page_evidence(spark.read.parquet(f"{sf}/pages.parquet")).collect()
+    low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    grams = lambda t: [((a * 0x9E3779B1 + b * 0x85EBCA6B + c * 0xC2B2AE35) & 0xFFFFFFFF) >> 16 for a, b, c in zip(t, t[1:], t[2:], strict=False)]
+    counts = {}
+    for r in docs:
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 5 != 2:
+            counts.setdefault(r.lang, collections.Counter()).update(grams(low(r.text)))
+    langs = sorted(counts)
+    n, size = len(langs), 1 << 16
+    total = [sum(counts[x].values()) + p.smoothing * size for x in langs]
+    logp = lambda g: [math.log((counts[x][g] + p.smoothing) / t) for x, t in zip(langs, total, strict=True)]
+    logp = functools.cache(logp)
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 0xC3
+    rows = [{"id": (r.doc_id, None), "text": low(r.text), "host": (r.source, None) if r.source else None, "domain": None, "declared": None, "suffix": None} for r in docs]
+    rows += [{"id": (None, r.page_id), "text": low(r.text), "host": (r.host, r.domain) if r.host else None, "domain": r.domain, "declared": r.declared, "suffix": r.suffix} for r in pages]
+    for r in rows:
+        r["log"] = [p.temper * sum(x) for x in zip(*map(logp, grams(r["text"])), strict=True)] or [0.0] * n
+        r["q"] = _normal(r["log"])
+    clear = [r for r in rows if any(map(letter, r["text"]))]
+    base = _mix([sum(r["q"][i] for r in clear) for i in range(n)], [1 / n] * n, 1.0)
+    domain = {k: _mix(c, base, p.host_pull) for k, c in _sums(clear, "domain", n).items()}
+    host = {k: _mix(c, domain.get(k[1], base), p.host_pull) for k, c in _sums(clear, "host", n).items()}
+    given = {}
+    for col in ("declared", "suffix"):
+        c = _sums(clear, col, n)
+        s = [sum(x[i] for x in c.values()) for i in range(n)]
+        given[col] = {k: [math.log((x[i] + p.evidence_pull * sum(x) / sum(s)) / (s[i] + p.evidence_pull)) for i in range(n)] for k, x in c.items()}
+    out = {(r.doc_id, r.page_id): r for r in queries.op3_language_id(spark, sf).collect()}
+    assert len(out) == len(rows) and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 2) for r in out.values())
+    for r in rows:
+        got = out[r["id"]]
+        if r not in clear:
+            assert got.language is None and got.confidence == 0
+            continue
+        logs = [x + math.log(y) for x, y in zip(r["log"], host.get(r["host"], base), strict=True)]
+        for col in ("declared", "suffix"):
+            logs = [x + y for x, y in zip(logs, given[col].get(r[col], [0.0] * n), strict=True)]
+        post = _normal(logs)
+        assert abs(got.confidence - max(post)) < 1e-3 and (got.language == langs[post.index(max(post))] or max(post) < 0.51)

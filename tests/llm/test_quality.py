@@ -52,3 +52,26 @@ def test_edge_cases(spark):
     assert quality.classify(docs, none).count() == 2
     assert quality.classify(docs.limit(0), none).count() == 0
     assert np.isfinite(quality.features(pa.array([None, "", " ", "\n", "a" * 3000, "é|$ 5"]))).all()
+
+
+def test_query_adds_up_the_tables_row_by_row(spark):
+    import bisect
+    import math
+    import zlib
+
+    from siftloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    m = quality.train(docs, labels)
+    out = {r.doc_id: r for r in queries.op8_quality(spark, sf).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(out) == len(rows) and any(r.held_out for r in out.values()) and len(m.pairs) == 8
+    for r in rows:
+        x = quality.features(pa.array([r.text]))[0].tolist()
+        z = m.intercept + sum(t[bisect.bisect_right(c.tolist(), v)] for t, c, v in zip(m.tables, m.cuts, x, strict=True))
+        for (i, j), t in zip(m.pairs, m.pair_tables, strict=True):
+            z += t[bisect.bisect_right(m.pair_cuts[i].tolist(), x[i])][bisect.bisect_right(m.pair_cuts[j].tolist(), x[j])]
+        got = out[r.doc_id]
+        assert abs(got.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+        assert got.predicted == int(got.score >= 0.7) and got.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
