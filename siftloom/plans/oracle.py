@@ -324,3 +324,26 @@ SQL["sitemap_expand"] = """WITH RECURSIVE n AS (SELECT page_id AS k, 'https://h.
 SQL["length_quality"] = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(least(100, floor(length(text) / 120 + 0.5)) AS BIGINT) END AS length_quality FROM documents"
 
 SQL["redacted_details"] = "SELECT doc_id, 'lang,source' AS keys, source FROM documents"
+
+SQL["sitemap_targets_by_type"] = f"""WITH {HOSTED}, {ENTRIES}, k AS (SELECT host, url, lastmod, {SUB} AS kind, {PATH} AS path FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY lastmod, url COLLATE en, url) AS a,
+ row_number() OVER (PARTITION BY host ORDER BY path COLLATE en, url) AS b FROM k WHERE kind = 'other')
+ SELECT host, 'lastmod_asc' AS sort_by, a AS rank, url FROM r WHERE a <= 3 UNION ALL SELECT host, 'path', b, url FROM r WHERE b <= 3"""
+
+SQL["crawl_sitemap_targets"] = f"""WITH {HOSTED}, {ENTRIES}, r AS (SELECT lower(host) AS host, url, row_number() OVER (PARTITION BY lower(host) ORDER BY lastmod DESC, url COLLATE en, url) AS rank FROM f),
+ {QUALITY}, n AS (SELECT url AS final_url, {normal()} AS key, nullif(title, '') AS title, quality FROM x)
+ SELECT host, rank, final_url AS url, title, quality AS content_quality_score FROM r JOIN n ON n.key = r.url WHERE rank <= 3"""
+
+#: A crawl of each site as a queue: one step takes one address; addresses and texts of kept pages are its marks.
+VISITS = f"""{HOSTED}, {EDGES.replace("AS src, lead(url, 1) OVER w AS dst", "AS src, lead(url, 1) OVER w AS dst, 0 AS pos").replace("lead(url, 3) OVER w FROM", "lead(url, 3) OVER w, 1 FROM")},
+ kids AS (SELECT src, list(dst ORDER BY pos, dst) AS dsts FROM (SELECT src, dst, min(pos) AS pos FROM edges WHERE dst IS NOT NULL GROUP BY src, dst) GROUP BY src), {QUALITY},
+ one AS (SELECT url, {normal()} AS key, sha256(main) AS hash, nullif(title, '') AS title, quality, words, coalesce(dsts, []) AS dsts FROM x LEFT JOIN kids ON kids.src = x.url QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1),
+ walk AS (SELECT host AS crawl_id, 0 AS step, NULL::varchar AS url, -1 AS depth, NULL::varchar AS status, NULL::varchar AS how, 0 AS kept, [{{'u': arg_min(url, page_id), 'd': 0}}] AS queue, [arg_min(url, page_id)] AS seen, []::varchar[] AS marks FROM hosted GROUP BY host
+ UNION ALL SELECT w.crawl_id, w.step + 1, w.queue[1].u, w.queue[1].d, CASE WHEN list_has_any(w.marks, [o.key, o.hash]) THEN 'duplicate' ELSE 'kept' END,
+ CASE WHEN list_contains(w.marks, o.key) THEN 'url' WHEN list_contains(w.marks, o.hash) THEN 'content_hash' END, w.kept + (CASE WHEN list_has_any(w.marks, [o.key, o.hash]) THEN 0 ELSE 1 END),
+ w.queue[2:] || (CASE WHEN list_has_any(w.marks, [o.key, o.hash]) OR w.queue[1].d >= 2 THEN [] ELSE list_transform(list_filter(o.dsts, lambda t: NOT list_contains(w.seen, t)), lambda t: {{'u': t, 'd': w.queue[1].d + 1}}) END),
+ w.seen || (CASE WHEN list_has_any(w.marks, [o.key, o.hash]) OR w.queue[1].d >= 2 THEN [] ELSE o.dsts END), CASE WHEN list_has_any(w.marks, [o.key, o.hash]) THEN w.marks ELSE w.marks || [o.key, o.hash] END
+ FROM walk w JOIN one o ON o.url = w.queue[1].u WHERE w.kept < 8 AND len(w.queue) > 0)"""
+SQL["crawl_site"] = f"""WITH RECURSIVE {VISITS} SELECT crawl_id, step - 1 AS "order", walk.url, depth::bigint AS depth, status = 'duplicate' AS is_duplicate, how AS matched_on, quality AS content_quality_score FROM walk JOIN one ON one.url = walk.url WHERE step > 0"""
+SQL["crawl_counters"] = f"""WITH RECURSIVE {VISITS} SELECT crawl_id, count(*) FILTER (status = 'kept') AS pages_fetched, count(*) AS pages_visited, count(*) FILTER (status = 'duplicate') AS duplicates_skipped, 0::bigint AS errors, max(depth)::bigint AS max_depth_reached FROM walk WHERE step > 0 GROUP BY crawl_id"""
+
+SQL["parsed_hits"] = f"""WITH {TITLED} SELECT page_id, 0::bigint AS position, title, url, substr(body, 1, 500) AS snippet FROM titled WHERE title <> ''"""

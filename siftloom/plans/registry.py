@@ -282,6 +282,16 @@ def dedupe_canonical(spark, d):
     return dedupe.keep_first(p, dedupe.url_key(F.regexp_replace("canonical", "[0-9]+$", "")), ["page_id"]).select("page_id", "canonical")
 
 
+@query
+def parsed_hits(spark, d):
+    """Hits read back from a search service's answers: one for each page, with a second hit that lacks a title or an address."""
+    t = titled(spark, d).where("title <> ''")
+    ok = F.struct("title", "url", F.col("body").alias("content"))
+    bad = F.struct(F.when(F.col("page_id") % 2 == 0, "").otherwise(F.col("title")).alias("title"), F.when(F.col("page_id") % 2 == 1, "").otherwise(F.col("url")).alias("url"), F.lit("x").alias("content"))
+    answers = t.select("page_id", F.to_json(F.struct(F.array(ok, bad).alias("results"))).alias("body"))
+    return search.parse_hits(answers).withColumn("position", F.col("position").cast("long"))
+
+
 @query
 def dedupe_hits(spark, d):
     h = titled(spark, d).withColumn("variant", (F.col("page_id") % 4).cast("int")).withColumn("url", F.regexp_replace(canonical(F.col("url")), "[0-9]+$", ""))
@@ -375,6 +385,14 @@ def sitemap_targets(spark, d):
     return sitemap.targets(m, ["host"], limit=3).select("host", F.col("rank").cast("long").alias("rank"), "url", "lastmod")
 
 
+@query
+def sitemap_targets_by_type(spark, d):
+    """Targets of one type in the other two orders."""
+    m = sitemap.merge_entries(sitemap.entries(sitemaps(spark, d)), ["host"], ["pos"])
+    ways = [sitemap.targets(m, ["host"], "other", way, 3).withColumn("sort_by", F.lit(way)) for way in ("lastmod_asc", "path")]
+    return ways[0].unionByName(ways[1]).select("host", "sort_by", F.col("rank").cast("long").alias("rank"), "url")
+
+
 @query
 def sitemap_expand(spark, d):
     """A tree of sitemap indexes over the page ids: page k names pages 2k+1 and 2k+2."""
@@ -409,7 +427,7 @@ def crawl_bfs(spark, d):
 @query
 def crawl_site(spark, d):
     c = pipelines.crawl_site(table(spark, d, "pages"), edges(spark, d), seeds(spark, d), 2, 8)
-    return c.select("crawl_id", "order", "url", "depth", "is_duplicate", "matched_on", "content_quality_score")
+    return c.select("crawl_id", "order", "url", F.col("depth").cast("long").alias("depth"), "is_duplicate", "matched_on", F.col("content_quality_score").cast("long").alias("content_quality_score"))
 
 
 @query
@@ -500,7 +518,7 @@ def discover_site(spark, d):
 
 @query
 def crawl_sitemap_targets(spark, d):
-    return pipelines.crawl_sitemap_targets(sitemaps(spark, d).select("sitemap", "xml"), table(spark, d, "pages"), limit=3).drop("main_text")
+    return pipelines.crawl_sitemap_targets(sitemaps(spark, d).select("sitemap", "xml"), table(spark, d, "pages"), limit=3).drop("main_text").withColumns({c: F.col(c).cast("long") for c in ("rank", "content_quality_score")})
 
 
 @query
