@@ -29,7 +29,7 @@ PHRASE = r"\S++(?:(?<![.!?])\s++\S++){0,11}"
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint string of a text (null counts as empty)."""
-    phrases = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0)), lambda s: F.right(F.lpad(F.lower(F.hex(F.xxhash64(s))), 8, "0"), F.lit(8))), ".")
+    phrases = lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(PHRASE), F.lit(0)), lambda s: F.right(F.lpad(F.lower(F.hex(F.xxhash64(s))), 16, "0"), F.lit(8))), ".")
 
     def paragraph(p: Column) -> Column:
         h = F.sha2(p, 256)
