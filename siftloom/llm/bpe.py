@@ -33,7 +33,7 @@ from .store import small_batches
 from .words import slices
 
 #: Longest span that is encoded without halving.
-LEAF_CHARS = 4096
+LEAF_CHARS = 1024
 #: Leaves remember the tokens of words; the memo is emptied at so many.
 MEMO = 200_000
 
@@ -152,11 +152,11 @@ class TreeBPE:
 _CODECS: dict[tuple, TreeBPE] = {}
 
 
-def codec(ranks_path: str, pattern: str) -> TreeBPE:
-    """One codec per worker process and vocabulary."""
-    key = (ranks_path, pattern)
+def codec(ranks_path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeBPE:
+    """One codec per worker process, vocabulary and length of leaves."""
+    key = (ranks_path, pattern, leaf_chars)
     if key not in _CODECS:
-        _CODECS[key] = TreeBPE(ranks_path, pattern)
+        _CODECS[key] = TreeBPE(ranks_path, pattern, leaf_chars)
     return _CODECS[key]
 
 

@@ -23,6 +23,9 @@ from .store import small_batches
 from .tokenbin import encoder, id_width
 from .words import slices
 
+#: Longest span that is encoded without halving where only the number of tokens is wanted.
+LEAF = 4096
+
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, tokens long, documents long, batch string"
 
@@ -43,7 +46,7 @@ def count_tokens(docs: DataFrame, versions: dict[str, tuple]) -> DataFrame:
         for v in names:
             kind, path, *rest = versions[v]
             if kind == "ranks":
-                count.append(lambda x, c=codec(path, *rest): len(c.encode(x)))
+                count.append(lambda x, c=codec(path, *rest, leaf_chars=LEAF): len(c.encode(x)))
             else:
                 w = id_width(path)
                 count.append(lambda x, e=encoder(path, w), w=w: len(e.encode(x)) // w)
