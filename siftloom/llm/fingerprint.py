@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import materialise
+from .store import materialise, ranges
 
 #: A phrase: up to twelve words, none after the end of a sentence.
 PHRASE = r"\S++(?:(?<![.!?])\s++\S++){0,11}"
@@ -94,8 +94,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     are shuffled by id once; of each, the half of its neighbour's length and the
     fingerprint travel to that neighbour.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = ranges(docs)
     none = F.lit(-(1 << 63))
     # the id is got back from the key, so that both uses of the texts need equal columns and share one shuffle
     t = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("k"), F.coalesce("text", F.lit("")).alias("text"))

@@ -86,6 +86,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Stored bytes that one range of a sort by id should hold.
+RANGE_BYTES = 256 << 20
+
+
+def ranges(df: DataFrame) -> int:
+    """Partitions for a sort of ``df`` by ranges: from the bytes of the files that it reads, the shuffle setting at least.
+
+    Sizes come from the plan's leaves, so nothing is read; leaves of unknown size (rows of the driver) count as none.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    stored = sum(x for x in sizes if x < 1 << 60)
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // RANGE_BYTES), 1)
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI or bare path, else None."""
     u = urlparse(uri)

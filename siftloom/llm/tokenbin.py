@@ -22,11 +22,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import filesystem, local_path, scratch, small_batches, write_atomic
+from .store import filesystem, local_path, ranges, scratch, small_batches, write_atomic
 from .words import slices
 
 NULL_ID = -(1 << 63)
@@ -111,11 +111,6 @@ def id_width(path: str) -> int:
     return 2 if n <= 1 << 16 else 4
 
 
-def _sized(spark: SparkSession, docs: DataFrame) -> int:
-    """Partitions for the sort: as many as the scan has, and the shuffle setting at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, out: str | None = None) -> DataFrame:
     """Encode ``docs(doc_id, text)`` and write token files; returns the manifest.
 
@@ -132,7 +127,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int | None, out:
     small_batches(spark)
     out = out or scratch(spark, "tokens")
     width = id_width(tokenizer_path)
-    dealt = docs.select("doc_id", "text").repartitionByRange(_sized(spark, docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    dealt = docs.select("doc_id", "text").repartitionByRange(ranges(docs), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     schema = "shard long, bin string, off string, doc string, n_docs long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 from pyspark.sql import types as T
-from siftloom.llm import bpe, tokenbin
+from siftloom.llm import bpe, store, tokenbin
 
 DOCS = "doc_id long, text string, extra int, n_tokens int"
 
@@ -54,3 +54,15 @@ def test_token_files(spark, odd_texts):
     empty = tokenbin.write_tokens(spark.createDataFrame([], DOCS), path, 2)
     assert tokenbin.read_tokens(empty).count() == 0
     assert isinstance(manifest.schema["base"].dataType, T.LongType)
+
+
+def test_ranges_follow_the_stored_bytes(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(300)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/d")
+    stored, usual = spark.read.parquet(f"{tmp_path}/d"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert store.ranges(docs) == store.ranges(stored) == usual
+    want = sorted(tokenbin.crc_digest(tokenbin.read_tokens(tokenbin.write_tokens(stored, P.path("word_bpe_49k.json"), 2))).collect())
+    monkeypatch.setattr(store, "RANGE_BYTES", 1000)
+    assert store.ranges(stored) > 2 * usual and store.ranges(stored.join(docs, "doc_id")) == store.ranges(stored)
+    many = tokenbin.write_tokens(stored, P.path("word_bpe_49k.json"), 2)
+    assert many.count() > usual and sorted(tokenbin.crc_digest(tokenbin.read_tokens(many)).collect()) == want
