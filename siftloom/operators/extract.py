@@ -40,7 +40,7 @@ _STRINGS = T.ArrayType(T.StringType())
 PARTS: dict[str, T.DataType] = {
     "title": T.StringType(), "main_text": T.StringType(), "full_length": T.IntegerType(), "headings": T.ArrayType(HEADING), "links": _STRINGS, "metadata": METADATA,
     "all_links": _STRINGS, "sections": T.ArrayType(SECTION), "markdown": T.StringType(), "nav_links": _STRINGS, "feeds": _STRINGS, "login": T.BooleanType(), "search": T.BooleanType(),
-    "visible_text": T.StringType(), "mail_links": _STRINGS, "phone_links": _STRINGS, "people": _STRINGS, "address_texts": _STRINGS,
+    "body_text": T.StringType(), "visible_text": T.StringType(), "mail_links": _STRINGS, "phone_links": _STRINGS, "people": _STRINGS, "address_texts": _STRINGS,
     "linked_data": T.StructType([T.StructField(n, _STRINGS) for n in ("emails", "phones", "addresses", "names")]), "contact_urls": _STRINGS,
 }
 MAIN = ("title", "main_text", "full_length", "headings", "links", "metadata")
@@ -281,6 +281,10 @@ def extract_page(html: str | None, url: str | None, parts: tuple[str, ...] = tup
         out["linked_data"] = _linked_data(doc)
     if "contact_urls" in want:
         out["contact_urls"] = _contact_urls(doc, url or "", list(prefer_paths))
+    if "body_text" in want:
+        bare = parse(html)
+        _drop(bare.root, lambda n: n.tag in ("script", "style", "noscript"))
+        out["body_text"] = ws(bare.body.text() or bare.root.text())
     if want & {"visible_text", "mail_links", "phone_links", "people", "address_texts"}:
         seen = parse(html)
         _drop(seen.root, _hidden)

@@ -347,3 +347,4 @@ SQL["crawl_site"] = f"""WITH RECURSIVE {VISITS} SELECT crawl_id, step - 1 AS "or
 SQL["crawl_counters"] = f"""WITH RECURSIVE {VISITS} SELECT crawl_id, count(*) FILTER (status = 'kept') AS pages_fetched, count(*) AS pages_visited, count(*) FILTER (status = 'duplicate') AS duplicates_skipped, 0::bigint AS errors, max(depth)::bigint AS max_depth_reached FROM walk WHERE step > 0 GROUP BY crawl_id"""
 
 SQL["parsed_hits"] = f"""WITH {TITLED} SELECT page_id, 0::bigint AS position, title, url, substr(body, 1, 500) AS snippet FROM titled WHERE title <> ''"""
+SQL["plain_html"] = f"WITH {PAGE} SELECT page_id, nullif(title, '') AS title, md5(substr(full_text, 1, 12000)) AS text_md5, length(substr(full_text, 1, 12000)) AS chars, length(full_text) > 12000 AS text_truncated FROM t"

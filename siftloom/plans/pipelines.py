@@ -252,6 +252,7 @@ def find_leads(hits: DataFrame, pages: DataFrame, query: str, limit: int = 20) -
     g = dedupe.checkpoint_table(g, "groups")
     wanted = contacts.resolution_query("", q.location, q.postal_code, q.category)
     c = g.select("group_key", "name", F.explode("candidate_urls").alias("url"))
+    stored = snapshots(pages)
     pages = dedupe.checkpoint_table(pages.join(c.select("url").distinct(), "url", "left_semi").select("page_id", "url", "html"), "candidates")
     loc = scoring.array_literal([t for t in text.query_latin_tokens(q.location or "")])
     c = c.withColumn("heuristics", scoring.url_heuristics(F.col("url"), text.lead_tokens(F.col("name")), loc))
@@ -261,14 +262,12 @@ def find_leads(hits: DataFrame, pages: DataFrame, query: str, limit: int = 20) -
     c = c.join(known, "url", "left")
     score = scoring.website_score(F.col("trust"), F.col("relevance"), F.col("heuristics"), F.coalesce(scoring.name_hits(text.lead_tokens(F.col("name")), F.col("page_title")), F.lit(0)))
     best = dedupe.checkpoint_table(contacts.rank_websites(c.withColumn("score", score), ["group_key"]).withColumnRenamed("confidence", "website_confidence"), "websites")
-    chosen = pages.join(best.select(F.col("best_website").alias("url")).distinct(), "url", "left_semi")
-    pc = contacts.page_contacts(snapshots(chosen)).select("final_url", "page_type", *contacts.FIELDS)
-    j = g.join(best, "group_key").join(pc, F.col("best_website") == F.col("final_url"), "left")
+    sites = best.select(F.col("best_website").alias("site"), F.col("best_website").alias("home"))
+    pc = contacts.site_contacts(sites, stored).select("site", "contact_pages", F.col("confidence").alias("contact_confidence"), *contacts.FIELDS)
+    j = g.join(best, "group_key").join(pc, F.col("best_website") == F.col("site"), "left")
     n = {k: F.coalesce(F.size(k), F.lit(0)) for k in contacts.FIELDS}
-    has = F.col("final_url").isNotNull()
-    conf = F.when(has, scoring.contact_confidence(has, F.col("page_type") == "impressum", n["emails"], n["phones"], n["addresses"], n["contact_people"], F.lit(1)))
-    j = j.withColumn("confidence", scoring.lead_confidence(F.col("website_confidence"), conf))
-    j = j.withColumn("rank_score", scoring.lead_rank(F.col("confidence"), F.col("best_website"), n["emails"], n["phones"], F.when(has, 1).otherwise(0)))
+    j = j.withColumn("confidence", scoring.lead_confidence(F.col("website_confidence"), F.col("contact_confidence")))
+    j = j.withColumn("rank_score", scoring.lead_rank(F.col("confidence"), F.col("best_website"), n["emails"], n["phones"], F.coalesce(F.size("contact_pages"), F.lit(0))))
     j = j.withColumn("location", F.lit(q.location).cast("string"))
     j = dedupe.keep_first(j, dedupe.lead_key(F.col("best_website"), F.col("name"), F.col("location")), ["first_position"])
     out = j.select(contacts.lead_id(F.col("best_website"), F.col("name"), F.col("location")).alias("lead_id"), "name", F.col("best_website").alias("website"), "confidence", "rank_score", "emails", "phones")
@@ -283,6 +282,13 @@ def url_chunks(pages: DataFrame, size: int = 1200, overlap: int = 150, max_chunk
     return section_chunks(extract(snapshots(pages), ("sections", "main_text")).select("page_id", "sections"), ["page_id"], "sections", size, overlap, max_chunks)
 
 
+def plain_html(pages: DataFrame, max_chars: int = 12_000) -> DataFrame:
+    """Title and whole text of each page, without scripts, styles and what shows in their stead."""
+    x = extract(snapshots(pages), ("title", "body_text"))
+    cut, more = text.truncate(F.col("body_text"), max_chars)
+    return x.select("page_id", "title", cut.alias("text"), more.alias("text_truncated"))
+
+
 def markdown(pages: DataFrame, max_chars: int = 12_000, with_links: bool = True) -> DataFrame:
     """Pages as Markdown with title, metadata and quality."""
     x = page_quality(extract(snapshots(pages), (*MAIN, "markdown"), with_links=with_links))

@@ -527,6 +527,19 @@ def business_contacts(spark, d):
     return p.select("page_id", "page_type", *contacts.FIELDS, "extracted_fields")
 
 
+@query
+def site_contacts(spark, d):
+    """Every page as a home page."""
+    p = src.snapshots(src.pages(spark, d))
+    s = contacts.site_contacts(p.select(F.col("page_id").alias("site"), F.col("url").alias("home")), p)
+    return s.select(F.col("site").alias("page_id"), "title", F.size("contact_pages").cast("long").alias("n_contact_pages"), *[F.array_join(k, "|").alias(k) for k in contacts.FIELDS], "n_pages", "impressum_found", F.col("confidence").cast("long").alias("confidence"))
+
+
+@query
+def plain_html(spark, d):
+    return pipelines.plain_html(table(spark, d, "pages")).select("page_id", "title", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("chars"), "text_truncated")
+
+
 @query
 def find_leads(spark, d):
     return pipelines.find_leads(titled(spark, d).withColumn("position", F.col("page_id")), table(spark, d, "pages"), "20 Friseure im Bereich 96515 Sonneberg")

@@ -31,6 +31,26 @@ def snapshots(stored: DataFrame, max_bytes: int = 2_000_000, rendered: bool = Fa
     )
 
 
+#: Settings of a crawl that a single rendered page has no use for.
+CRAWL_ONLY = ["max_pages", "max_depth", "same_domain_only", "obey_robots", "delay_ms", "max_chars_per_page"]
+
+
+def rendered_request(**given) -> dict:
+    """Parameters of one rendered page from those of a crawl.
+
+    ``url`` wins over its alias ``start_url``; one of them must be there.  Returns
+    the other parameters with ``url``, whether the alias was used, and the names
+    of crawl settings that were given in vain.
+    """
+    own = {k: v for k, v in given.items() if v is not None}
+    alias = own.pop("start_url", None)
+    url = own.get("url") or alias
+    if not url:
+        raise ValueError("url or start_url is required")
+    vain = [k for k in CRAWL_ONLY if own.pop(k, None) is not None]
+    return {"input": {**own, "url": url}, "used_alias": not given.get("url"), "ignored": vain}
+
+
 def public_only(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose address may be fetched (literal addresses are judged; names are not resolved)."""
     return df.where(urls.blocked_reason(F.col(url)).isNull())

@@ -136,6 +136,36 @@ def test_contacts(spark):
     assert contacts.lead_searches(q)[:2] == ["Friseure 96515 Sonneberg", "Friseure 96515 Sonneberg webseite kontakt"]
 
 
+def test_contacts_of_a_site(spark):
+    home = '<title>Salon - Start</title><body>Tel. 03675 123456 <a href="/our/team.html#x">Team</a><a href="https://other.de/kontakt">k</a></body>'
+    rows = [("https://a.de/", home), ("https://a.de/impressum", "<title>Impressum</title>info@a.de"), ("https://a.de/our/team.html", "<p>Inhaberin: Anna Becker</p>"), ("https://other.de/kontakt", "x@other.de"), ("https://b.de/", None)]
+    p = spark.createDataFrame([(u, u, h) for u, h in rows] + [("https://a.de/contact", "https://a.de/impressum", rows[1][1])], "url string, final_url string, html string")
+    homes = spark.createDataFrame([(1, "https://a.de/"), (1, "https://a.de/"), (2, "https://b.de/"), (3, "https://none.de/"), (4, None)], "site int, home string")
+    got = {r.site: r for r in contacts.site_contacts(homes, p, 20).collect()}
+    assert set(got) == {1, 2} and got[2].n_pages == 1 and got[2].contact_pages == [] and got[2].confidence == 37
+    a = got[1]
+    assert a.n_pages == 3 and a.impressum_found and a.emails == ["info@a.de"] and a.phones and a.contact_people == ["Anna Becker"] and a.title == "Salon - Start"
+    assert [x.final_url for x in a.contact_pages] == ["https://a.de/", "https://a.de/impressum", "https://a.de/our/team.html"]
+    assert "emails" in a.sources[1].extracted_fields and a.confidence == min(100, 35 + 30 + 15 + 10 + 5 + 6)
+    two = {r.site: r for r in contacts.site_contacts(homes, p, 2, ("/our/team.html",)).collect()}[1]
+    assert two.n_pages == 2 and two.contact_people == ["Anna Becker"] and not two.impressum_found
+    assert contacts.site_contacts(homes.limit(0), p).count() == 0
+
+
+def test_plain_html(spark):
+    html = "<title> A  b </title><style>s</style><body><nav>menu</nav> one<script>x</script>\n<p>two</p><noscript>no</noscript></body>"
+    p = spark.createDataFrame([(1, "u", html), (2, "u", None)], "page_id long, url string, html string")
+    got = {r.page_id: tuple(r)[1:] for r in pipelines.plain_html(p, 8).collect()}
+    assert got == {1: ("A b", "menu one", True), 2: (None, "", False)}
+
+
+def test_rendered_request():
+    assert src.rendered_request(start_url="a", max_pages=3, wait_ms=5) == {"input": {"wait_ms": 5, "url": "a"}, "used_alias": True, "ignored": ["max_pages"]}
+    assert src.rendered_request(url="b", start_url="a") == {"input": {"url": "b"}, "used_alias": False, "ignored": []}
+    with pytest.raises(ValueError):
+        src.rendered_request(max_pages=1)
+
+
 def test_sitemaps(spark):
     index = "<sitemapindex><sitemap><loc>https://a.de/s1.xml</loc></sitemap><sitemap><loc> https://b.de/x.xml </loc></sitemap><sitemap><loc>https://a.de/s2.xml</loc></sitemap></sitemapindex>"
     nested = "<sitemapindex><sitemap><loc>https://a.de/s2.xml</loc></sitemap><sitemap><loc>https://a.de/root.xml</loc></sitemap></sitemapindex>"
