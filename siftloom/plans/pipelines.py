@@ -248,7 +248,7 @@ def find_leads(hits: DataFrame, pages: DataFrame, query: str, limit: int = 20) -
     """
     q = contacts.interpret(query)
     text.bounded("limit", limit, 1, 1000)
-    g = contacts.lead_groups(hits, q.location).orderBy(F.collate("name", "UNICODE"), "group_key").limit(2 * limit)
+    g = contacts.lead_groups(hits, q.location).orderBy(F.collate("name", "UNICODE"), "group_key").limit(2 * limit).drop("hit_urls")
     g = dedupe.checkpoint_table(g, "groups")
     wanted = contacts.resolution_query("", q.location, q.postal_code, q.category)
     c = g.select("group_key", "name", F.explode("candidate_urls").alias("url"))

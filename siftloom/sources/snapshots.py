@@ -61,8 +61,12 @@ def public_only(df: DataFrame, url: str = "url") -> DataFrame:
 _HTML_START = "<"
 
 
-def document_kind(url: Column, content_type: Column, disposition: Column, content: Column) -> Column:
-    """struct of kind (pdf, html, text) and content_type from header, suffix, file name and first bytes, in that order."""
+def document_kind(url: Column, content_type: Column, disposition: Column, content: Column, unknown: str = "application/octet-stream") -> Column:
+    """struct of kind (pdf, html, text) and content_type from header, suffix, file name and first bytes, in that order.
+
+    ``unknown``: the type of what none of them tells, such as short texts of mostly
+    accented letters; callers whose contents are decoded texts know better.
+    """
     ct = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
     ct = F.when(ct != "", ct)
     ext = urls.extension(url)
@@ -80,7 +84,7 @@ def document_kind(url: Column, content_type: Column, disposition: Column, conten
         F.when(pdf, F.struct(F.lit("pdf").alias("kind"), F.lit("application/pdf").alias("content_type")))
         .when(html, F.struct(F.lit("html").alias("kind"), F.lit("text/html").alias("content_type")))
         .when(is_text, F.struct(F.lit("text").alias("kind"), F.coalesce(own, F.lit("text/plain")).alias("content_type")))
-        .otherwise(F.struct(F.lit("text").alias("kind"), F.coalesce(ct, F.lit("application/octet-stream")).alias("content_type")))
+        .otherwise(F.struct(F.lit("text").alias("kind"), F.coalesce(own, F.lit(unknown)).alias("content_type")))
     )
 
 

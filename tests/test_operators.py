@@ -427,3 +427,25 @@ def test_a_key_of_many_rows_keeps_its_first(spark):
     df = spark.range(20_000).select(F.col("id"), F.lit("same").alias("k"), F.lit(None).cast("string").alias("x"))
     assert [r.id for r in dedupe.keep_first(df, F.col("k"), ["id"]).collect()] == [0]
     assert [r.id for r in dedupe.keep_first(df, [F.col("k"), F.col("x")], ["x", "id"]).collect()] == [0]
+
+
+def _against_sql(spark, folder, name, table):
+    """Rows of a query and of its SQL over one table in ``folder``."""
+    import duckdb
+    from siftloom.plans import oracle, registry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(folder))
+    return sorted(map(tuple, got.collect()), key=str), sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({oracle.SQL[name]})").fetchall(), key=str)
+
+
+def test_lead_groups_list_the_address_of_every_hit(spark, tmp_path):
+    """Two hits of one name with one address: both are listed, and a lead's candidate addresses stay distinct."""
+    page = "<html><head><title>{}</title></head><body><article><p>x</p></article></body></html>"
+    rows = [(i, u, page.format(t)) for i, (u, t) in enumerate([("https://a.de/1", "Salon Alpha"), ("https://a.de/2", "Salon Alpha"), ("https://a.de/1", "salon alpha"), ("https://b.de/", "Beta Shop")])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = _against_sql(spark, tmp_path, "lead_groups", "pages")
+    assert got == want and any(x[-1] == "https://a.de/1 https://a.de/2 https://a.de/1" for x in got)
+    hits = spark.createDataFrame([(i, u, t) for i, (u, t) in enumerate([("https://a.de/1", "Salon Alpha"), ("https://a.de/1", "Salon Alpha")])], "position int, url string, title string")
+    assert [r.candidate_urls for r in contacts.lead_groups(hits).collect()] == [["https://a.de/1"]]
