@@ -458,3 +458,20 @@ def test_lead_groups_put_hits_without_a_place_last(spark, tmp_path):
     spark.createDataFrame([(i, u, page) for i, u in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got, want = _against_sql(spark, tmp_path, "lead_groups", "pages")
     assert got == want == [("salon alpha", "Salon Alpha", 4, 0, 4, "https://a.de/1 https://a.de/1 https://n.de/")]
+
+
+def test_document_kinds_of_odd_texts(spark, tmp_path):
+    """Missing, empty and short accented texts, for every remainder that the SQL reads of an id."""
+    texts = [None, "", "èé", "plain", "日本語", "\x00\x01", "a<b"]
+    rows = [(i, texts[i // 5 % len(texts)]) for i in range(-200, 5 * 3 * 7 * 11 * 13)] + [(None, "é"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got, want = _against_sql(spark, tmp_path, "document_kinds", "documents")
+    assert [x for x in zip(got, want, strict=True) if x[0] != x[1]] == []
+
+
+def test_a_type_that_nothing_tells_is_the_callers(spark):
+    """Files keep the general type unless the caller knows that contents are decoded texts."""
+    f = spark.createDataFrame([(bytearray("èé".encode()), None), (bytearray("èé".encode()), "application/octet-stream"), (bytearray(b"plain"), None), (bytearray("èé".encode()), "image/x")], "b binary, ct string")
+    kind = lambda *unknown: [tuple(r[0]) for r in f.select(src.document_kind(F.lit("https://h.example/f"), F.col("ct"), F.lit(None).cast("string"), F.col("b"), *unknown)).collect()]
+    assert kind() == [("text", "application/octet-stream")] * 2 + [("text", "text/plain"), ("text", "image/x")]
+    assert kind("text/plain") == [("text", "text/plain")] * 3 + [("text", "image/x")]
