@@ -50,7 +50,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     manifest = tokenbin.write_tokens(docs, _vocabulary("word_bpe_49k.json"), end_id=2)
-    return tokenbin.crc_digest(tokenbin.read_tokens(manifest))
+    return tokenbin.read_crc(manifest)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -177,20 +177,25 @@ def open_map(uri: str, dtype) -> np.ndarray:
         return np.frombuffer(src.read_buffer(), dtype=dtype)
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """Documents of token files: doc_id, start (global), n_tokens, tokens (binary as in the file), width."""
+def read_tokens(manifest: DataFrame, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str | None = None) -> DataFrame:
+    """Documents of token files: doc_id, start (global), n_tokens, tokens (binary as in the file), width.
+
+    ``then`` turns batches of these into others, of ``then_schema``, in the worker
+    that reads them: tokens that are only digested never pass through the JVM to
+    a second worker.
+    """
     n = max(manifest.count(), 1)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("tokens", T.BinaryType()), T.StructField("width", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
+        for shards in batches:
+            for r in shards.to_pylist():
                 ids = open_map(r["bin"], f"<u{r['width']}")
                 off, doc = open_map(r["off"], "<i8"), open_map(r["doc"], "<i8")
                 at = 0
                 while at < len(doc):  # runs of about 4 MB
                     to = min(max(int(np.searchsorted(off, off[at] + (4 << 20) // r["width"], side="right")) - 1, at + 1), len(doc))
-                    yield pa.RecordBatch.from_arrays(
+                    b = pa.RecordBatch.from_arrays(
                         [
                             pa.array(doc[at:to], mask=np.asarray(doc[at:to]) == NULL_ID),
                             pa.array(off[at:to] + r["base"]),
@@ -200,17 +205,25 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         ],
                         names=schema.names,
                     )
+                    yield then(b) if then else b
                     at = to
 
-    return manifest.repartition(n, "shard").mapInArrow(run, schema)
+    return manifest.repartition(n, "shard").mapInArrow(run, then_schema or schema)
+
+
+_CRC = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _crc(b: pa.RecordBatch) -> pa.RecordBatch:
+    crc = [zlib.crc32(np.frombuffer(x.as_buffer(), dtype=f"<u{w}").astype("<u4")) for x, w in zip(b.column(3), b.column(4).to_pylist(), strict=True)]
+    return pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def crc_digest(tokens: DataFrame) -> DataFrame:
     """Per document: start, n_tokens and the CRC-32 of its ids as unsigned 32-bit integers."""
+    return tokens.select("doc_id", "start", "n_tokens", "tokens", "width").mapInArrow(lambda batches: map(_crc, batches), _CRC)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = [zlib.crc32(np.frombuffer(x, dtype=f"<u{w}").astype("<u4").tobytes()) for x, w in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return tokens.select("doc_id", "start", "n_tokens", "tokens", "width").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_crc(manifest: DataFrame) -> DataFrame:
+    """:func:`crc_digest` of :func:`read_tokens`, digested by the workers that read."""
+    return read_tokens(manifest, _crc, _CRC)

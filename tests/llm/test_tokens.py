@@ -66,3 +66,22 @@ def test_ranges_follow_the_stored_bytes(spark, tmp_path, monkeypatch):
     assert store.ranges(stored) > 2 * usual and store.ranges(stored.join(docs, "doc_id")) == store.ranges(stored)
     many = tokenbin.write_tokens(stored, P.path("word_bpe_49k.json"), 2)
     assert many.count() > usual and sorted(tokenbin.crc_digest(tokenbin.read_tokens(many)).collect()) == want
+
+
+def test_tokens_are_digested_where_they_are_read(spark, tmp_path):
+    """One Python worker a task reads and digests; empty documents without an end id too."""
+    from siftloom.llm import queries
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["", "a b", None, "déjà vu", "x " * 5000])], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op4_token_files(spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    path = P.path("word_bpe_49k.json")
+    for end in (2, None):
+        manifest = tokenbin.write_tokens(docs, path, end)
+        got, want = (sorted(x.collect()) for x in (tokenbin.read_crc(manifest), tokenbin.crc_digest(tokenbin.read_tokens(manifest))))
+        assert got == want and len(got) == 5
+        if end:
+            assert sorted(out.collect()) == want
+        else:
+            assert (got[0].n_tokens, got[0].ids_crc32) == (0, 0)
