@@ -21,7 +21,9 @@ their counts, to parts by hash, as a few packed arrays; a part sums what all
 blocks sent and answers each in the order of its question.  No process holds the
 tree, a part's size is bounded, and a frequent word or context comes to a part
 once a block.  Leaving each occurrence out, a context none of whose successors
-occurs twice can't be retained, so nothing but that is answered about it.
+occurs twice can't be retained, so nothing but that is answered about it.  Workers
+share an executor's memory with its heap: arrays over a block's tokens are narrow,
+few at a time, and given back after each block.
 
 Words and contexts are told apart by 64-bit hashes, the contexts within a part by
 48 bits and the successors of one context by 32; the divergence test knows the
@@ -30,7 +32,9 @@ shorter context's probabilities to 1/1024 of a decade.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import sys
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +51,10 @@ from .words import mix as scramble
 #: Symbols besides those of words.
 START, END, OTHER = 0, 1, 2
 _DECADE = 1024
+#: Tokens in one step of arithmetic over a block's tokens.
+_STEP = 1 << 17
+#: Text tokenised at once on the way to a block.
+_SLICE_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -122,6 +130,45 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((scramble(key) >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
 
 
+def _new(a: np.ndarray) -> np.ndarray:
+    """Whether each value of a sorted array differs from the one before."""
+    out = np.ones(len(a), dtype=bool)
+    np.not_equal(a[1:], a[:-1], out=out[1:])
+    return out
+
+
+def distinct(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, for each of them a place where it occurs, and each place's number among them.
+
+    As ``np.unique``, with fewer arrays at once.
+    """
+    order = np.argsort(a)
+    a = a[order]
+    new = _new(a)
+    a = a[new]
+    inv = np.empty(len(order), dtype=np.int32)
+    inv[order] = np.cumsum(new, dtype=np.int32)
+    inv -= 1
+    return a, order[new], inv
+
+
+def _paired(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    out = high.astype(np.int64)
+    out <<= 32
+    out |= low
+    return out
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+
+
+def release() -> None:
+    """Give the system what arrays have freed: else a worker keeps its peak through all later tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def ranges(start: np.ndarray, width: np.ndarray) -> np.ndarray:
     """All places of some ranges, one range after the other."""
     return np.repeat(start - (np.cumsum(width) - width), width) + np.arange(width.sum())
@@ -156,16 +203,17 @@ def blocks_of(docs: DataFrame, p: Params) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             h, n = np.concatenate(hashes), np.concatenate(size)
+            hashes.clear()
             keep = ~np.array(held, dtype=bool)
-            words, at, inv, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            learned = np.bincount(inv, np.repeat(keep, n), len(words)).astype(np.int64)
-            places = np.argsort(-count, kind="stable")
+            words, at, inv = distinct(h)
+            learned = np.bincount(inv[np.repeat(keep, n)], minlength=len(words))
+            places = np.argsort(-np.bincount(inv, minlength=len(words)), kind="stable")
             rank = np.empty(len(words), dtype=np.uint32)
             rank[places] = np.arange(len(words), dtype=np.uint32)
             row = [number, ids.copy(), held.copy(), n, int(keep.sum()), int(n[keep].sum()), len(h), len(words), pack(rank[inv], np.uint32), pack(places, np.uint32), pack(words, U64), pack(np.concatenate(ends)[at], np.uint32), pack(learned, np.uint32)]
             return _row(row, schema)
 
-        for b in slices(batches):
+        for b in slices(batches, max_bytes=_SLICE_BYTES):
             w = Words(b.column(1), BLANK)
             ids += b.column(0).to_pylist()
             held += b.column(2).to_pylist()
@@ -178,8 +226,10 @@ def blocks_of(docs: DataFrame, p: Params) -> DataFrame:
                 number, held_bytes = number + 1, 0
                 for x in (ids, held, size, hashes, ends):
                     x.clear()
+                release()
         if ids:
             yield flush()
+        release()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, _BLOCK)
 
@@ -191,7 +241,7 @@ def exchange(rows: DataFrame, parts: int, answer, schema: str) -> DataFrame:
         got = [b for b in batches if b.num_rows]
         if got:
             yield from answer(pa.Table.from_batches(got))
-        pa.default_memory_pool().release_unused()
+        release()
 
     return rows.repartitionById(parts, "part").mapInArrow(run, schema)
 
@@ -231,7 +281,7 @@ def word_counts(blocks: DataFrame, parts: int, least: float) -> DataFrame:
 
     def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
         hs = [unpack(x, U64) for x in t.column("hash").to_pylist()]
-        words, at, inv = np.unique(np.concatenate(hs), return_index=True, return_inverse=True)
+        words, at, inv = distinct(np.concatenate(hs))
         n = np.bincount(inv, together(t.column("learned").to_pylist(), np.uint32), len(words)).astype(np.int64)
         end = together(t.column("ending").to_pylist(), np.uint32)[at]
         rare = (n > 0) & (n < least)
@@ -282,8 +332,11 @@ def encode(blocks: DataFrame, counts: DataFrame, parts: int, root: Root) -> Data
     schema = _arrow(_CODED)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return schema.empty_table()
+        out = one(left, right) if left.num_rows else schema.empty_table()
+        release()
+        return out
+
+    def one(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         h, end = unpack(row["hash"], U64), unpack(row["ending"], np.uint32)
         n = np.empty(len(h), dtype=np.int64)
@@ -331,49 +384,65 @@ _ANSWER = "block long, level int, part int, state binary, total binary, n binary
 _PLAIN, _COUNTED, _RETAINED = 0, 1, 2
 
 
-def walk(row: dict, answers: list[dict[str, np.ndarray]], parts: int, p: Params) -> tuple[np.ndarray, list[tuple] | None]:
-    """log10 probabilities of a block's symbols in the longest contexts that ``answers`` retain, and what the block asks about the next longer ones."""
-    ids, names = unpack(row["ids"], np.uint32).astype(np.int64), unpack(row["names"], U64)
+def walk(row: dict, answers: Sequence[dict[str, np.ndarray]], parts: int, p: Params, ask: bool = True) -> tuple[np.ndarray, list[tuple] | None]:
+    """log10 probabilities of a block's symbols in the longest contexts that ``answers`` retain, and (with ``ask``) what the block asks about the next longer ones."""
+    ids, names = unpack(row["ids"], np.uint32), unpack(row["names"], U64)
     logp = unpack(row["roots"], np.float64)[ids]
     size = np.array(row["size"], dtype=np.int64)
+    starts = np.cumsum(size) - size
     inside = np.ones(len(ids), dtype=bool)
-    inside[np.cumsum(size) - size] = False
+    inside[starts] = False
     learned = np.repeat(~np.array(row["held"], dtype=bool), size)
-    at, key = np.arange(len(ids)), np.append(names, U64(START))
-    context = np.where(inside, np.roll(ids, 1), len(names))
-    for level in range(len(answers) + 1):
-        pair, inv = np.unique((context << 32) | ids[at], return_inverse=True)
-        of, symbol = pair >> 32, names[pair & 0xFFFFFFFF]
-        first = np.flatnonzero(np.diff(of, prepend=-1))
-        width = np.diff(first, append=len(pair))
+    at, key = np.arange(len(ids), dtype=np.int32), np.append(names, U64(START))
+    context = np.empty(len(ids), dtype=np.uint32)
+    context[1:] = ids[:-1]
+    context[starts] = len(names)
+    for level in range(len(answers) + ask):
+        pair, some, inv = distinct(_paired(context, ids[at]))
+        of, rank = (pair >> 32).astype(np.uint32), pair.astype(np.uint32)
+        del context, pair
+        new = _new(of)
+        first = np.flatnonzero(new)
+        width = np.diff(first, append=len(of))
         part = part_of(key[of[first]], parts)
         order = np.argsort(part, kind="stable")
         if level == len(answers):
-            up = np.empty(len(pair))
-            up[inv] = logp[at]
-            n = np.bincount(inv, learned[at], len(pair))
+            n = np.bincount(inv[learned[at]], minlength=len(of))
+            # all places of a pair have one probability
+            some = at[some]
+            del inv, at
             rows = []
             for k, s, e in _pieces(part[order]):
                 c = order[s:e]
                 r = ranges(first[c], width[c])
-                rows.append((row["block"], k, pack(key[of[first[c]]], U64, 6), pack(width[c], np.uint32), pack(symbol[r], U64, 4), pack(n[r], np.uint32), pack(np.rint(np.maximum(up[r] * -_DECADE, 0)), np.uint16)))
+                rows.append((row["block"], k, pack(key[of[first[c]]], U64, 6), pack(width[c], np.uint32), pack(names[rank[r]], U64, 4), pack(n[r], np.uint32), pack(np.rint(np.maximum(logp[some[r]] * -_DECADE, 0)), np.uint16)))
             return logp, rows
+        del some
         got = answers[level]
         state, total = np.empty(len(first), dtype=np.uint8), np.zeros(len(first))
         state[order] = got["state"]
         total[order[got["state"] == _RETAINED]] = got["total"]
         c = order[got["state"] != _PLAIN]
-        n = np.zeros(len(pair))
+        n = np.zeros(len(of))
         n[ranges(first[c], width[c])] = got["n"]
-        group = np.repeat(np.arange(len(first)), width)
-        kept = (state == _RETAINED)[group][inv]
-        i, j = at[kept], inv[kept]
-        logp[i] = np.log10((n[j] + p.pull * np.power(10.0, logp[i])) / (total[group[j]] + p.pull))
+        del got, c, order, part, first, width
+        group = np.cumsum(new, dtype=np.int32)
+        group -= 1
+        for s in range(0, len(at), _STEP):
+            j = inv[s : s + _STEP]
+            kept = state[group[j]] == _RETAINED
+            i, j = at[s : s + _STEP][kept], j[kept]
+            logp[i] = np.log10((n[j] + p.pull * np.power(10.0, logp[i])) / (total[group[j]] + p.pull))
         often = (n >= p.context_count)[inv]
+        del n, new, group, state, total
         following = at[often] + 1
         here = (following < len(ids)) & inside[np.minimum(following, len(ids) - 1)]
-        key = mix(key[of], symbol)
         at, context = following[here], inv[often][here]
+        del inv, often, following, here
+        shorter, key = key, np.empty(len(of), dtype=U64)
+        for s in range(0, len(of), _STEP):
+            key[s : s + _STEP] = mix(shorter[of[s : s + _STEP]], names[rank[s : s + _STEP]])
+        del shorter, of, rank
     return logp, None
 
 
@@ -381,12 +450,12 @@ def judge(t: pa.Table, level: int, p: Params) -> Iterator[pa.RecordBatch]:
     """Answers about the contexts of one part: their states, training occurrences of retained ones, and those of the pairs of all but plain ones."""
     widths = [unpack(x, np.uint32).astype(np.int64) for x in t.column("width").to_pylist()]
     width = np.concatenate(widths)
-    keys, of = np.unique(together(t.column("context").to_pylist(), U64, 6), return_inverse=True)
-    pair, inv = np.unique((np.repeat(of, width) << 32) | together(t.column("symbol").to_pylist(), U64, 4).astype(np.int64), return_inverse=True)
+    keys, _, of = distinct(together(t.column("context").to_pylist(), U64, 6))
+    pair, some, inv = distinct(_paired(np.repeat(of, width), together(t.column("symbol").to_pylist(), U64, 4).astype(np.uint32)))
     n = np.bincount(inv, together(t.column("n").to_pylist(), np.uint32), len(pair))
-    up = np.empty(len(pair))
-    up[inv] = np.power(10.0, together(t.column("up").to_pylist(), np.uint16) / -_DECADE)
+    up = np.power(10.0, together(t.column("up").to_pylist(), np.uint16)[some] / -_DECADE)
     c = pair >> 32
+    del pair, some
     total = np.bincount(c, n, len(keys))
     # of each occurrence against a distribution from the others: rare successors of rare contexts prove nothing
     gain = np.bincount(c, n * np.log((np.maximum(n - 1, 0) + p.pull * up) / ((np.maximum(total, 1)[c] - 1 + p.pull) * up)), len(keys))
@@ -401,14 +470,18 @@ def judge(t: pa.Table, level: int, p: Params) -> Iterator[pa.RecordBatch]:
         yield _row((block, level, part, pack(st, np.uint8), pack(total[mine][st == _RETAINED], np.int64), pack(n[pairs][np.repeat(st != _PLAIN, w)], np.int64)), told)
 
 
-def _answers(right: pa.Table, levels: int) -> list[dict[str, np.ndarray]]:
-    right = right.sort_by([("level", "ascending"), ("part", "ascending")])
-    level = right.column("level").to_numpy()
-    out = []
-    for d in range(levels):
-        mine = right.filter(pa.array(level == d))
-        out.append({c: together(mine.column(c).to_pylist(), k) for c, k in (("state", np.uint8), ("total", np.int64), ("n", np.int64))})
-    return out
+class Answers(Sequence):
+    """What parts have answered a block, unpacked level by level as it is asked for."""
+
+    def __init__(self, right: pa.Table, levels: int):
+        self.right, self.levels = right.sort_by([("level", "ascending"), ("part", "ascending")]), levels
+
+    def __len__(self) -> int:
+        return self.levels
+
+    def __getitem__(self, d: int) -> dict[str, np.ndarray]:
+        mine = self.right.filter(pa.array(self.right.column("level").to_numpy() == d))
+        return {c: together(mine.column(c).to_pylist(), k) for c, k in (("state", np.uint8), ("total", np.int64), ("n", np.int64))}
 
 
 def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | None = None) -> DataFrame:
@@ -452,7 +525,8 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
 
     def asking(level: int):
         def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-            rows = walk(left.to_pylist()[0], _answers(right, level), parts, p)[1] if left.num_rows else []
+            rows = walk(left.to_pylist()[0], Answers(right, level), parts, p)[1] if left.num_rows else []
+            release()
             return pa.Table.from_batches([_row(r, asked) for r in rows], schema=asked)
 
         return ask
@@ -460,7 +534,9 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                yield from (_row(r, asked) for r in walk(row, [], parts, p)[1])
+                rows = walk(row, [], parts, p)[1]
+                release()
+                yield from (_row(r, asked) for r in rows)
 
     for level in range(p.depth):
         rows = coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(asking(level), _ASKED) if level else coded.mapInArrow(first, _ASKED)
@@ -473,10 +549,12 @@ def score_documents(docs: DataFrame, p: Params | None = None, hold: F.Column | N
         if not left.num_rows:
             return out.empty_table()
         row = left.to_pylist()[0]
-        logp = walk(row, _answers(right, p.depth), parts, p)[0]
+        logp = walk(row, Answers(right, p.depth), parts, p, ask=False)[0]
         size = np.array(row["size"], dtype=np.int64)
         sums = np.add.reduceat(logp, np.cumsum(size) - size) + np.array(row["within"])
         cols = [row["doc_id"], row["held"], size, row["known"], np.full(len(size), n), row["base"], sums]
+        del logp
+        release()
         return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(cols, out, strict=True)], schema=out)
 
     return coded.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(score, schema)

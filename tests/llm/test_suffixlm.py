@@ -1,9 +1,11 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from siftloom.llm import suffixlm as L
@@ -152,3 +154,40 @@ def test_empty_and_no_training_rows(spark):
 def test_packed_arrays():
     a = np.array([0, 1, 255, 256, 1 << 40, (1 << 48) - 1], dtype=np.uint64)
     assert (L.unpack(L.pack(a, np.uint64, 6), np.uint64, 6) == a).all() and len(L.unpack(L.pack(a[:0], np.uint64), np.uint64)) == 0
+
+
+def traced(f):
+    """What ``f`` returns, and the bytes that its arrays took at once."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_is_walked_with_few_arrays_of_its_tokens():
+    """Workers share an executor's memory: a block's walk took twice these bytes a token."""
+    r, p, n = np.random.default_rng(3), L.Params(), 400_000
+    names = np.sort(r.integers(10, 1 << 63, 5000).astype(np.uint64))
+    ids = np.minimum(r.zipf(1.3, n) - 1, len(names) - 1).astype(np.uint32)
+    ids[1::2] = (ids[::2] + 1) % len(names)  # so that contexts of one symbol are retained
+    roots = np.log10((np.bincount(ids, minlength=len(names)) + 1) / (n + len(names)))
+    row = {"block": 1, "ids": L.pack(ids, np.uint32), "names": L.pack(names, np.uint64), "roots": L.pack(roots, np.float64), "size": [1000] * (n // 1000), "held": [k % 7 == 2 for k in range(n // 1000)]}
+    told = []
+    for level in range(p.depth + 1):
+        right = pa.Table.from_pylist(told, schema=L._arrow(L._ANSWER))
+        (logp, rows), took = traced(lambda: L.walk(row, L.Answers(right, level), 4, p))  # noqa: B023
+        assert took < 60 * n, (level, took / n)
+        for k in range(4):
+            asked = [L._row(x, L._arrow(L._ASKED)) for x in rows if x[1] == k]
+            told += [x for b in L.judge(pa.Table.from_batches(asked), level, p) for x in b.to_pylist()]
+    assert np.array_equal(L.walk(row, L.Answers(right, p.depth), 4, p, ask=False)[0], logp)
+    assert (logp != roots[ids]).mean() > 0.4
+
+
+def test_distinct_values_as_numpy_finds_them():
+    r = np.random.default_rng(4)
+    for a in (r.integers(0, 50, 300), r.integers(0, 1 << 63, 9).astype(np.uint64), np.zeros(0, np.int64), np.zeros(4, np.int64)):
+        values, some, inv = L.distinct(a)
+        want, back = np.unique(a, return_inverse=True)
+        assert np.array_equal(values, want) and np.array_equal(inv, back) and np.array_equal(a[some], want)
