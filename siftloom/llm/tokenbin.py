@@ -30,12 +30,15 @@ from .store import filesystem, local_path, ranges, scratch, small_batches, write
 from .words import slices
 
 NULL_ID = -(1 << 63)
-#: Words remembered with their ids by each worker; the memo is emptied at so many.
+#: Pieces, and as many words, that each worker remembers with their ids: the latest so many at least, twice as many at most.
 MEMO = 250_000
+#: Longest piece or word that is remembered.
+MEMO_LENGTH = 128
 
 #: Word pieces that normalise to themselves: ASCII and Latin-1 letters, and ASCII punctuation without the apostrophe.
-_PLAIN = re.compile(r"[a-zà-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-_ALL_PLAIN = re.compile(r"(?:[a-zà-öø-ÿ0-9!-&(-/:-@\[-`{-~])+")
+_PLAIN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Neither in a plain piece nor white space.
+_ODD = re.compile(r"[^a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~ \t-\r]")
 
 
 def _byte_chars() -> dict[int, str]:
@@ -45,12 +48,34 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Values of ``make`` by key.  At ``MEMO`` keys all become the older half, which forgets those not asked for since."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+            if len(key) > MEMO_LENGTH:
+                return got
+        if len(self) >= MEMO:
+            self.older = self.copy()
+            self.clear()
+        self[key] = got
+        return got
+
+
 class WordEncoder:
-    """Ids of whole texts from a remembered table of white-space-separated words.
+    """Ids of whole texts from remembered tables of their pieces or words.
 
     For tokenizers that drop white space before their merges, the ids of a text
-    are those of its words in a row.  Words of plain pieces go to the model
-    directly, others through the whole tokenizer.
+    are those of its white-space-separated words in a row.  Words of plain
+    pieces go to the model piece by piece, others through the whole tokenizer.
+    A text without odd characters is cut into pieces at once, so the model sees
+    a piece once whatever marks it stands beside.
     """
 
     def __init__(self, path: str, width: int):
@@ -61,40 +86,31 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.code = {1: "B", 2: "H", 4: "I"}[width]
         self.chars = _byte_chars()
-        self.memo: dict[bytes, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces, self.words = _Memo(self._piece), _Memo(self._word)
 
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = piece if piece.isascii() else "".join(self.chars[b] for b in piece.encode())
-            got = [t.id for t in self.model.tokenize(mapped)]
-            if len(piece) < 4:
-                self.pieces[piece] = got
-        return got
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, low: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PLAIN.findall(low)))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        low = text if text.isascii() else text.lower()
-        if len(low) == len(text) and _ALL_PLAIN.fullmatch(low):
-            ids = [i for p in _PLAIN.findall(low) for i in self._piece(p)]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array(self.code, ids).tobytes()
+        low = text.lower()
+        return self._plain(low) if len(low) == len(text) and not _ODD.search(low) else self._whole(text)
 
     def encode(self, text: str) -> bytes:
         """Little-endian ids of ``text``."""
         if "<|" in text:  # special tokens are found in the text as it is
-            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        memo, out = self.memo, []
-        for w in text.encode().lower().split():
-            got = memo.get(w)
-            if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = memo[w] = self._word(w)
-            out.append(got)
-        return b"".join(out)
+            return self._whole(text)
+        low = text.lower()
+        if len(low) == len(text) and not _ODD.search(low):
+            return self._plain(low)
+        return b"".join(map(self.words.__getitem__, text.encode().lower().split()))
 
 
 @lru_cache(4)

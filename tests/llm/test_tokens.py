@@ -85,3 +85,48 @@ def test_tokens_are_digested_where_they_are_read(spark, tmp_path):
             assert sorted(out.collect()) == want
         else:
             assert (got[0].n_tokens, got[0].ids_crc32) == (0, 0)
+
+
+CHARS = "abzK éÉßẞøØ×÷ÿŸ,.;$$'s't'll019 \t\n\r\x0b\x0c\x1c\x85\xa0́İıΣςK漢😀<|>_~«"
+
+
+def test_encoder_equals_the_library_while_its_memos_turn_over(odd_texts, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = P.path("word_bpe_49k.json")
+    tok, r = Tokenizer.from_file(path), random.Random(4)
+    plain = [c for c in CHARS if c.isascii() and c not in "'<|\x1c"]
+    texts = [*filter(None, odd_texts), *("".join(r.choice(k) for _ in range(r.randint(0, 40))) for k in (CHARS, plain, "abß,. 1", "abéÉ Aẞ") for _ in range(1500))]
+    for memo, longest in ((250_000, 128), (5, 3)):
+        monkeypatch.setattr(tokenbin, "MEMO", memo)
+        monkeypatch.setattr(tokenbin, "MEMO_LENGTH", longest)
+        enc = tokenbin.WordEncoder(path, 2)
+        for t in texts:
+            assert enc.encode(t) == np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes(), t
+        assert all(len(m) <= memo and len(m.older) <= memo for m in (enc.pieces, enc.words))
+        assert all(len(k) <= longest for m in (enc.pieces, enc.words) for k in (*m, *m.older))
+
+
+def test_a_piece_costs_the_model_once(monkeypatch):
+    """Whatever marks, or words with odd characters, it stands beside, and for as long as it is asked for."""
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, piece):
+            self.asked.append(piece)
+            return self.model.tokenize(piece)
+
+    def asked(*texts):
+        enc = tokenbin.WordEncoder(P.path("word_bpe_49k.json"), 2)
+        enc.model = Counted(enc.model)
+        for t in texts:
+            enc.encode(t)
+        return enc.model.asked
+
+    assert asked("Sinfonietta, (sinfonietta) sinfonietta.", "sinfonietta;\n$$$sinfonietta4", "l'été sinfonietta! sinfonietta?").count("sinfonietta") == 1
+    assert asked("straße, straße.", "Straße").count("straÃŁe") == 1
+    monkeypatch.setattr(tokenbin, "MEMO", 4)
+    many = asked(*(f"sinfonietta word{chr(97 + i) * 3}" for i in range(20)))
+    assert many.count("sinfonietta") == 1 and len(many) == 21
